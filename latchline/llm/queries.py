@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latchline.llm.languages import document_languages, line_languages
+from latchline.llm.leaks import leaked_items
 from latchline.llm.mixture import mixture
 from latchline.llm.quantiles import merged, percentiles, sketch_values
 from latchline.llm.runs import event_runs, known_functions
@@ -91,6 +93,15 @@ def p3_within_error(spark: SparkSession, root: str) -> DataFrame:
 P3_SQL = "select step_name, count(duration_ms) as n, 4 as within from step_timings where duration_ms is not null group by step_name"
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Leaks with the shares of words and rare words found."""
+    return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
     return mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"), "doc_id", "source", "text")[0]
 
@@ -99,7 +110,17 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"), "doc_id", "source", "text")[1]
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    lines = line_languages(table(spark, root, "documents"))
+    return lines.filter("mislabelled or languages > 1").select("doc_id", "line_no", "seg_lang")
+
+
+def p10_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Main language and confidence of every document with prose."""
+    return document_languages(line_languages(table(spark, root, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_monthly, p3_within_error, p9_mixture, p9_shares)
+    f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_monthly, p3_within_error, p8_found, p8_shares, p9_mixture, p9_shares, p10_found, p10_documents)
 }
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_within_error": P3_SQL}
