@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latchline.llm.langid import LANGUAGES, LanguageModel, is_prose, label_language, natural_words
+from latchline.session import spread
 
 #: Labelled documents the classifier is fitted on, at most, and characters of each; everything is classified whole.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 4000
@@ -73,7 +74,7 @@ def line_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(lang).alias("_label"), F.col(text).alias("_text"))
     shape = f"_doc {dict(rows.dtypes)['_doc']}, {LINE}, named string, mislabelled boolean, languages int"
-    return rows.mapInPandas(_read(packed), shape).withColumnRenamed("_doc", doc_id)
+    return spread(rows).mapInPandas(_read(packed), shape).withColumnRenamed("_doc", doc_id)
 
 
 def document_languages(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:

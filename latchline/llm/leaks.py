@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latchline.llm.words import common_subsequence, words
-from latchline.session import stored
+from latchline.session import spread, stored
 from latchline.tables import broadcast_if_small
 
 #: Least share of an item's words, and of its rare words, that a document must hold in order in one place.
-SHARE, RARE_SHARE = 1 / 3, 1 / 3
+SHARE, RARE_SHARE = 0.3, 0.25
+#: Least share of the rare words of the matched stretch that are matched, and words counted beyond its ends.
+CLOSE, EDGE = 0.5, 12
 #: An item's rare words are this share of its distinct words, by document frequency in the corpus.
 RAREST = 1 / 3
 #: Words in more than this share of all documents are stock wording, not rare.
@@ -46,6 +48,7 @@ def _posting_rows(known: frozenset[str] | None):
 def positional_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Postings ``(_doc, _term, _places)`` of every document for the words of ``vocabulary``."""
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter("_doc is not null and _text is not null")
+    rows = spread(rows)
     shape = f"_doc {dict(rows.dtypes)['_doc']}, _term string, _places array<int>"
     first = vocabulary.limit(HELD_WORDS + 1).collect()
     if len(first) <= HELD_WORDS:
@@ -59,43 +62,68 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_item", "_term", "_n"])
 
 
-def shares(item: list[str], rare: set[str], doc: list[str]) -> tuple[float, float]:
-    """Ordered matches of one candidate, as shares of rare and of all words of the item, in the best place.
-
-    A place is where the rare words' offsets agree; it reaches an item's length beyond them.
+def _rare_matches(item: list[tuple[int, str]], doc: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Places (item, document) of a longest common subsequence of rare words."""
+    n, m = len(item), len(doc)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below, word = best[i], best[i + 1], item[i][1]
+        for j in range(m - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if word == doc[j][1] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if item[i][1] == doc[j][1]:
+            out.append((item[i][0], doc[j][0]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def shares(item: list[str], rare: set[str], doc: list[str]) -> tuple[float, float, float]:
+    """Ordered matches of one candidate in its best place: rare share, word share, closeness.
+
+    A place is where the rare words' offsets agree.  Rare words matched there in order
+    mark a stretch of the item; closeness is the share of the stretch's rare words that
+    are matched, and words count around that stretch only, so stock wording elsewhere adds nothing.
     """
-    best, tried = (0.0, 0.0), set()
+    best, tried = (0.0, 0.0, 0.0), set()
     places: dict[str, list[int]] = {}
     for n, w in enumerate(item):
         if w in rare:
             places.setdefault(w, []).append(n)
     hits = [(i, (i - n) // WANDER) for i, w in enumerate(doc) if w in places for n in places[w]]
-    rare_item = [w for w in item if w in rare]
+    rare_item = [(n, w) for n, w in enumerate(item) if w in rare]
     for base in sorted({off for _, off in hits}):
-        near = [i for i, off in hits if base <= off <= base + 1]
-        a, b = max(0, min(near) - len(item)), max(near) + len(item)
-        if (a, b) in tried:
+        near = sorted({i for i, off in hits if base <= off <= base + 1})
+        if (near[0], near[-1]) in tried:
             continue
-        tried.add((a, b))
-        part = doc[a:b]
-        got_rare = common_subsequence(rare_item, [w for w in part if w in rare]) / max(1, len(rare_item))
-        best = max(best, (got_rare, common_subsequence(item, part) / len(item)))
+        tried.add((near[0], near[-1]))
+        met = _rare_matches(rare_item, [(i, doc[i]) for i in near])
+        first, last = met[0], met[-1]
+        inside = sum(1 for n, _ in rare_item if first[0] <= n <= last[0])
+        part = item[max(0, first[0] - EDGE) : last[0] + EDGE + 1]
+        got = common_subsequence(part, doc[max(0, first[1] - EDGE) : last[1] + EDGE + 1]) / len(item)
+        best = max(best, (len(met) / len(rare_item), got, len(met) / inside))
     return best
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [shares(list(item), set(rare), words(text)) for item, rare, text in zip(b["_words"], b["_rare"], b["_text"], strict=True)]
-        yield pd.DataFrame({"_doc": b["_doc"], "_item": b["_item"], "rare_share": [g[0] for g in got], "word_share": [g[1] for g in got]})
+        yield pd.DataFrame({"_doc": b["_doc"], "_item": b["_item"], "rare_share": [g[0] for g in got], "word_share": [g[1] for g in got], "closeness": [g[2] for g in got]})
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, word_share, rare_share)`` of every document that holds a passage of an item.
+    """``(doc_id, item_id, word_share, rare_share, closeness)`` of every document that holds a passage of an item.
 
     Corpus postings of all test words are stored once; document frequencies over the
     whole corpus tell each item's rarest words.  Their lists, shifted by the word's place in
     the item, are intersected: candidates hold enough of them at one offset.  Candidates are
-    checked exactly by the longest common subsequence of words around that place.
+    checked exactly by the longest common subsequences of rare words, then of all words
+    around the stretch these mark.
 
     Null or empty texts hold and are nothing; repeated documents are found each;
     an item shorter than three words is found only whole; empty tables give no rows;
@@ -128,7 +156,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     whole = broadcast_if_small(whole.join(rare.groupBy("_item").agg(F.collect_list("_term").alias("_rare")), "_item"))
     pairs = candidates.join(texts, "_doc").join(whole, "_item")
     kinds = dict(pairs.dtypes)
-    checked = pairs.mapInPandas(_verify, f"_doc {kinds['_doc']}, _item {kinds['_item']}, rare_share double, word_share double")
-    found = checked.filter((F.col("word_share") >= SHARE) & (F.col("rare_share") >= RARE_SHARE))
-    return found.groupBy(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id)).agg(F.max("word_share").alias("word_share"), F.max("rare_share").alias("rare_share"))
+    checked = pairs.mapInPandas(_verify, f"_doc {kinds['_doc']}, _item {kinds['_item']}, rare_share double, word_share double, closeness double")
+    found = checked.filter((F.col("word_share") >= SHARE) & (F.col("rare_share") >= RARE_SHARE) & (F.col("closeness") >= CLOSE))
+    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "word_share", "rare_share", "closeness")
 

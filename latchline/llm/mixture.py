@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchline.session import stored
+from latchline.session import spread, stored
 from latchline.tables import broadcast_if_small
 
 #: Where the public vocabularies lie; a parameter of every operator that needs one.
@@ -60,7 +60,7 @@ def with_tokens(docs: DataFrame, row_id: str, source: str, text: str, vocabulary
     """``_id, _source, _tokens``: sizes of whole texts; a null or empty text has none."""
     rows = docs.select(F.col(row_id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     kinds = dict(rows.dtypes)
-    return rows.mapInPandas(token_counts(vocabulary), f"_id {kinds['_id']}, _source {kinds['_source']}, _tokens bigint")
+    return spread(rows).mapInPandas(token_counts(vocabulary), f"_id {kinds['_id']}, _source {kinds['_source']}, _tokens bigint")
 
 
 def _threshold(counts: DataFrame, wanted: DataFrame, by: Column) -> DataFrame:
