@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,23 @@ def build_session(app: str = "latchline", cpus: int | None = None, shuffle_parti
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per context, wherever they run and whatever their path holds."""
+    sc = spark.sparkContext
+    if getattr(sc, "_latchline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="latchline-code-")) / "latchline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f"latchline/{f.relative_to(package)}")
+    sc.addPyFile(str(archive))
+    sc._latchline_shipped = True
+
+
 def ensure_utc(spark: SparkSession) -> SparkSession:
     """Stored timestamps carry no zone and mean UTC, so every plan reads them in UTC."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
@@ -62,3 +79,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for Python work: cut into as many parts as there are cores where files give fewer."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.rdd().getNumPartitions() >= cores else scan.repartition(cores)
