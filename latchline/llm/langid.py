@@ -45,7 +45,7 @@ SWITCH, SWITCH_LINE = 9.0, 3.0
 LEAST_WORDS, LEAST_CHARS = 2, 3
 
 #: Rounds of training; documents in which a word must occur to be known; most an unknown word tells.
-ROUNDS, LEAST_DOCUMENTS, UNKNOWN = 3, 3, 1.0
+ROUNDS, LEAST_DOCUMENTS, UNKNOWN = 2, 3, 1.0
 
 _FORMAT = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _MARK = re.compile("[̀-ͯ]")
@@ -92,6 +92,11 @@ def natural_words(line: str) -> list[str]:
     return out
 
 
+_DIGIT = re.compile(r"\d")
+_CALLED = re.compile(r"\w\(")
+_EAST = re.compile("[Ѐ-ӿ぀-ヿㇰ-ㇿ㐀-䶿一-鿿ｦ-ﾝ]")
+
+
 def is_prose(words: list[str]) -> bool:
     japanese = sum(1 for w in words if _JAPANESE.match(w))
     return japanese >= LEAST_CHARS or len(words) - japanese >= LEAST_WORDS
@@ -107,24 +112,29 @@ class LanguageModel:
         self.kinds = len({g for c in grams for g in c}) + 1
         self.known = {w for c in words for w in c}
         self.cache: dict[str, np.ndarray] = {}
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LATIN)))
+        self.tokens: dict[str, tuple[tuple[int, ...], int, int]] = {}
+        self.spelled: dict[str, list[str]] = {}
 
     @classmethod
-    def trained(cls, samples: list[tuple[str, list[list[str]]]], rounds: int = ROUNDS) -> LanguageModel:
-        """From (language, prose lines as words), each word once per document.
+    def trained(cls, samples: list[tuple[str, str]], rounds: int = ROUNDS) -> LanguageModel:
+        """From (language, text), each word once per document.
 
         A line counts under its document's label only if the model so far agrees, which
-        begins with function words alone: passages in other languages and wrong labels wash out.  Words of
-        fewer than ``LEAST_DOCUMENTS`` documents (names, figures) stay unknown.
+        begins with function words alone: passages in other languages and wrong labels wash out.
+        Words of fewer than ``LEAST_DOCUMENTS`` documents (names, figures) stay unknown.
         """
-        seen = Counter(w for _, lines in samples for w in {w for line in lines for w in line})
-        prior = [Counter({w: 20 for w in FUNCTION_WORDS[x]}) for x in LATIN]
-        model = cls(prior, [Counter() for _ in LATIN])
+        samples = [x for x in samples if x[0] in _LATIN_AT]
+        texts = [t for _, t in samples]
+        reader = cls([Counter() for _ in LATIN], [Counter() for _ in LATIN])
+        read = [[reader.line_words(line) for line in t.split("\n")] for t in texts]
+        seen = Counter(w for lines in read for w in {w for line in lines for w in line})
+        model = cls([Counter({w: 20 for w in FUNCTION_WORDS[x]}) for x in LATIN], [Counter() for _ in LATIN])
         for _ in range(rounds):
             counts: list[Counter] = [Counter() for _ in LATIN]
-            for code, lines in samples:
-                if code not in _LATIN_AT:
-                    continue
-                kept = [x for x in lines if model.line(x)[0] == code]
+            for (code, _), lines, labels in zip(samples, read, model.label(texts), strict=True):
+                kept = [lines[n] for n, x, _ in labels if x == code]
                 counts[_LATIN_AT[code]].update({w for line in kept for w in line if seen[w] >= LEAST_DOCUMENTS and _is_latin(w)})
             for x, c in zip(LATIN, counts, strict=True):
                 share = max(3, sum(c.values()) // 500)
@@ -160,10 +170,132 @@ class LanguageModel:
             self.cache[word] = got
         return got
 
-    def line(self, words: list[str]) -> tuple[str, float]:
-        """Language of a line as one, and its share of the posterior."""
-        spans = self.spans([words])[0]
-        return spans[0], spans[1]
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "grams": self.grams}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["words"], state["grams"])
+
+    def word_id(self, word: str) -> int:
+        got = self.ids.get(word)
+        if got is None:
+            got = self.ids[word] = len(self.ids)
+            if got >= len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows[got] = self.score(word)
+        return got
+
+    def token(self, token: str) -> tuple[tuple[int, ...], int, int]:
+        """Ids of the Latin words in a token, and counts of Japanese characters and Russian words."""
+        if _CALLED.search(token) or (_DIGIT.search(token) and not _EAST.search(token)):
+            return (), 0, 0
+        return self.counted(natural_words(token))
+
+    def line_words(self, line: str) -> list[str]:
+        """Natural words of a line, read token by token as ``read`` does."""
+        if "\\" in line or '":' in line:
+            return natural_words(line)
+        out: list[str] = []
+        for t in line.split():
+            hit = self.spelled.get(t)
+            if hit is None:
+                plain = _CALLED.search(t) or (_DIGIT.search(t) and not _EAST.search(t))
+                hit = self.spelled[t] = [] if plain else natural_words(t)
+            out += hit
+        return out
+
+    def counted(self, words: list[str]) -> tuple[tuple[int, ...], int, int]:
+        ids, japanese, russian = [], 0, 0
+        for w in words:
+            if w.isascii() or not _EAST.search(w):
+                ids.append(self.word_id(w))
+            elif _JAPANESE.match(w):
+                japanese += 1
+            else:
+                russian += 1
+        return tuple(ids), japanese, russian
+
+    def read(self, line: str) -> tuple[list[int], int, int]:
+        """What ``token`` gives, for a whole line."""
+        if "\\" in line or '":' in line:
+            ids, japanese, russian = self.counted(natural_words(line))
+            return list(ids), japanese, russian
+        out: list[int] = []
+        japanese = russian = 0
+        known = self.tokens
+        for t in line.split():
+            hit = known.get(t)
+            if hit is None:
+                hit = self.token(t)
+                if len(known) > 300_000:
+                    known.clear()
+                known[t] = hit
+            if hit[0]:
+                out += hit[0]
+            japanese += hit[1]
+            russian += hit[2]
+        return out, japanese, russian
+
+    def label(self, docs: list[str]) -> list[list[tuple[int, str, float]]]:
+        """``(line number, language, confidence)`` of the prose lines of each text.
+
+        Equal to the labels of ``spans``, but the sums of all lines are made at once:
+        where a line's best language cannot lose to any switch, and every line of a
+        text leads by more than two switches, the best path is known without a search.
+        """
+        if len(self.ids) > 300_000:
+            self.ids, self.rows, self.tokens = {}, np.zeros((1024, len(LATIN))), {}
+        ids: list[int] = []
+        starts, lines, bounds = [], [], [0]
+        for text in docs:
+            for n, line in enumerate(text.split("\n")):
+                if not line:
+                    continue
+                got, japanese, russian = self.read(line)
+                if japanese >= LEAST_CHARS or len(got) + russian >= LEAST_WORDS:
+                    starts.append(len(ids))
+                    ids += got
+                    lines.append((n, len(got), japanese, russian))
+            bounds.append(len(lines))
+        if not lines:
+            return [[] for _ in docs]
+        size = np.array([x[1] for x in lines])
+        full = np.flatnonzero(size)
+        totals, gains = np.zeros((len(lines), len(LATIN))), np.zeros(len(lines))
+        m = self.rows[ids] if ids else np.zeros((0, len(LATIN)))
+        at = np.array(starts)
+        if len(full):
+            totals[full] = np.add.reduceat(m, at[full])
+        top = totals.argmax(axis=1)
+        if len(full):
+            lead = m[np.arange(len(m)), np.repeat(top[full], size[full])]
+            over = np.maximum(m - lead[:, None], 0)
+            gains[full] = np.add.reduceat(over, at[full]).max(axis=1)
+        ordered = np.sort(totals, axis=1)
+        margin = ordered[:, -1] - ordered[:, -2]
+        sure = 1 / np.exp(totals - ordered[:, -1:]).sum(axis=1)
+        plain = (gains < SWITCH) & ((margin > 2 * SWITCH_LINE) | (size == 0))
+        out = []
+        for d in range(len(docs)):
+            a, b = bounds[d], bounds[d + 1]
+            if a < b and not plain[a:b].all():
+                paths = _viterbi([m[at[i] : at[i] + size[i]] for i in range(a, b)])
+            else:
+                paths = None
+            found = []
+            for i in range(a, b):
+                n, latin, japanese, russian = lines[i]
+                best, share = int(top[i]), float(sure[i])
+                if paths is not None and latin:
+                    counts = np.bincount(paths[i - a], minlength=len(LATIN))
+                    best = int(counts.argmax())
+                    share = float(counts[best] / latin) * (share if best == top[i] else 0.5)
+                weights = (5 * latin, 2 * japanese, 6 * russian)
+                kind = weights.index(max(weights))
+                part = weights[kind] / sum(weights)
+                found.append((n, (LATIN[best], "ja", "ru")[kind], round(part * (share if kind == 0 else 1.0), 4)))
+            out.append(found)
+        return out
 
     def spans(self, lines: list[list[str]]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Per line: language, confidence and spans (first word, end, language).

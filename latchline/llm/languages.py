@@ -13,8 +13,7 @@ from latchline.llm.langid import LANGUAGES, LanguageModel, is_prose, label_langu
 from latchline.session import spread
 
 #: Labelled documents the classifier is fitted on, at most, and characters of each; everything is classified whole.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 4000
-LINE = "line_no bigint, seg_lang string, confidence double, spans array<struct<first_word:int,end_word:int,lang:string>>"
+TRAIN_ROWS, TRAIN_CHARS = 4000, 4000
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel:
@@ -24,57 +23,87 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_RO
     good = labels.filter(F.col("_l").isNotNull() & named("_l"))
     pool = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_l"), F.substring(F.col(text), 1, chars).alias("_t"))
     sample = pool.filter("_t is not null and _t <> ''").join(good, "_l", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()
-    lines = [(label_language(r["_l"]), [w for w in map(natural_words, r["_t"].split("\n")) if is_prose(w)]) for r in sample]
-    return LanguageModel.trained([x for x in lines if x[0]])
+    return LanguageModel.trained([(label_language(r["_l"]), r["_t"]) for r in sample])
 
 
 _models: dict[int, LanguageModel] = {}
 
 
+def _model(packed) -> LanguageModel:
+    """The broadcast model, unpacked once per worker."""
+    key = id(packed) if not hasattr(packed, "id") else packed.id
+    if key not in _models:
+        _models.clear()
+        _models[key] = pickle.loads(packed.value)
+    return _models[key]
+
+
 def _read(packed):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _models.get(packed.id if hasattr(packed, "id") else 0)
-        if model is None:
-            model = pickle.loads(packed.value)
-            _models.clear()
-            _models[packed.id if hasattr(packed, "id") else 0] = model
+        model = _model(packed)
+        names: dict[str | None, str | None] = {}
         for b in batches:
             out = []
-            for doc, label, text in zip(b["_doc"], b["_label"], b["_text"], strict=True):
-                lines = [(n, w) for n, w in ((n, natural_words(x)) for n, x in enumerate((text or "").split("\n"))) if is_prose(w)]
+            texts = [t if isinstance(t, str) else "" for t in b["_text"]]
+            for doc, label, lines in zip(b["_doc"], b["_label"], model.label(texts), strict=True):
                 if not lines:
                     continue
-                named = label_language(label)
-                got = model.spans([w for _, w in lines])
-                held = {g[0] for g in got}
+                if label not in names:
+                    names[label] = label_language(label)
+                named, held = names[label], {x[1] for x in lines}
                 wrong = named is None or named not in held
-                for (n, _), (code, sure, spans) in zip(lines, got, strict=True):
-                    out.append((doc, n, code, sure, [{"first_word": a, "end_word": e, "lang": x} for a, e, x in spans], named, wrong, len(held)))
-            yield pd.DataFrame(out, columns=["_doc", "line_no", "seg_lang", "confidence", "spans", "named", "mislabelled", "languages"])
+                out.extend((doc, n, code, sure, named, wrong, len(held)) for n, code, sure in lines)
+            yield pd.DataFrame(out, columns=["_doc", "line_no", "seg_lang", "confidence", "named", "mislabelled", "languages"])
 
     return run
 
 
-def line_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: LanguageModel | None = None) -> DataFrame:
-    """One row per line of prose: ``doc_id, line_no, seg_lang, confidence, spans, named, mislabelled, languages``.
+def _read_spans(packed):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(packed)
+        for b in batches:
+            out = []
+            for doc, text in zip(b["_doc"], b["_text"], strict=True):
+                lines = [(n, w) for n, w in ((n, natural_words(x)) for n, x in enumerate((text or "").split("\n"))) if is_prose(w)]
+                for (n, words), (_, _, spans) in zip(lines, model.spans([w for _, w in lines]), strict=True):
+                    out.extend((doc, n, k, a, e, code, " ".join(words[a:e])) for k, (a, e, code) in enumerate(spans))
+            yield pd.DataFrame(out, columns=["_doc", "line_no", "span_no", "first_word", "end_word", "seg_lang", "span_words"])
 
-    ``spans`` are the stretches of one language inside the line, counted in its natural
-    words; ``named`` is what the document's label means; ``mislabelled`` tells that it
-    names no language or one that no line has; ``languages`` counts those of the lines.
+    return run
 
-    The script of a word narrows its languages; per-word scores and a penalty for
-    switching give the spans (Viterbi).  Blank lines and lines of log output, code,
-    rules or figures alone have no row; null and empty texts have none; repeated
-    documents are read each; without labelled documents the model rests on function
-    words; empty tables give no rows; extra columns are ignored.
-    """
+
+def _prepared(docs: DataFrame, doc_id: str, text: str, lang: str, model: LanguageModel | None):
     model = model or fit(docs, doc_id, text, lang)
-    model.cache.clear()
     # Size bounded by the sample: distinct words of TRAIN_ROWS documents.
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(lang).alias("_label"), F.col(text).alias("_text"))
-    shape = f"_doc {dict(rows.dtypes)['_doc']}, {LINE}, named string, mislabelled boolean, languages int"
-    return spread(rows).mapInPandas(_read(packed), shape).withColumnRenamed("_doc", doc_id)
+    return packed, spread(rows), dict(rows.dtypes)["_doc"]
+
+
+def line_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: LanguageModel | None = None) -> DataFrame:
+    """One row per line of prose: ``doc_id, line_no, seg_lang, confidence, named, mislabelled, languages``.
+
+    ``named`` is what the document's label means ('?' for another language, null for
+    none); ``mislabelled`` tells that it names no language or one that no line has;
+    ``languages`` counts those of the lines.
+
+    The script of a word narrows its languages; per-word scores and a penalty for
+    switching give the language of each stretch (Viterbi), a line has that of most of
+    its words.  Blank lines and lines of log output, code, rules or figures alone have
+    no row; null and empty texts have none; repeated documents are read each; without
+    labelled documents the model rests on function words; empty tables give no rows;
+    extra columns are ignored.
+    """
+    packed, rows, kind = _prepared(docs, doc_id, text, lang, model)
+    shape = f"_doc {kind}, line_no bigint, seg_lang string, confidence double, named string, mislabelled boolean, languages int"
+    return rows.mapInPandas(_read(packed), shape).withColumnRenamed("_doc", doc_id)
+
+
+def language_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: LanguageModel | None = None) -> DataFrame:
+    """The stretches of one language inside every line of prose, counted in its natural words."""
+    packed, rows, kind = _prepared(docs, doc_id, text, lang, model)
+    shape = f"_doc {kind}, line_no bigint, span_no int, first_word int, end_word int, seg_lang string, span_words string"
+    return rows.mapInPandas(_read_spans(packed), shape).withColumnRenamed("_doc", doc_id)
 
 
 def document_languages(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
