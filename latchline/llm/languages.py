@@ -17,12 +17,15 @@ TRAIN_ROWS, TRAIN_CHARS = 4000, 4000
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel:
-    """Trains on at most ``rows`` documents whose label names one of the languages, chosen by a hash of the id."""
+    """Trains on about ``rows`` documents (at most twice as many) whose label names one of the languages, chosen by a hash of the id."""
     named = F.udf(lambda x: label_language(x) in LANGUAGES, "boolean")
     labels = docs.select(F.col(lang).alias("_l")).distinct()
     good = labels.filter(F.col("_l").isNotNull() & named("_l"))
     pool = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_l"), F.substring(F.col(text), 1, chars).alias("_t"))
-    sample = pool.filter("_t is not null and _t <> ''").join(good, "_l", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()
+    pool = pool.filter("_t is not null and _t <> ''").join(good, "_l", "left_semi")
+    # A share of all hashes that holds about ``rows`` documents: no task sends more than its part of the sample.
+    share = min(1.0, rows / max(1, pool.count()))
+    sample = pool.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * rows).collect()
     return LanguageModel.trained([(label_language(r["_l"]), r["_t"]) for r in sample])
 
 
