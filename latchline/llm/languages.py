@@ -56,7 +56,8 @@ def _read(packed):
                 named, held = names[label], {x[1] for x in lines}
                 wrong = named is None or named not in held
                 out.extend((doc, n, code, sure, named, wrong, len(held)) for n, code, sure in lines)
-            yield pd.DataFrame(out, columns=["_doc", "line_no", "seg_lang", "confidence", "named", "mislabelled", "languages"])
+            if out:
+                yield pd.DataFrame(out, columns=["_doc", "line_no", "seg_lang", "confidence", "named", "mislabelled", "languages"])
 
     return run
 
@@ -70,7 +71,8 @@ def _read_spans(packed):
                 lines = [(n, w) for n, w in ((n, natural_words(x)) for n, x in enumerate((text or "").split("\n"))) if is_prose(w)]
                 for (n, words), (_, _, spans) in zip(lines, model.spans([w for _, w in lines]), strict=True):
                     out.extend((doc, n, k, a, e, code, " ".join(words[a:e])) for k, (a, e, code) in enumerate(spans))
-            yield pd.DataFrame(out, columns=["_doc", "line_no", "span_no", "first_word", "end_word", "seg_lang", "span_words"])
+            if out:
+                yield pd.DataFrame(out, columns=["_doc", "line_no", "span_no", "first_word", "end_word", "seg_lang", "span_words"])
 
     return run
 

@@ -40,7 +40,8 @@ def _posting_rows(known: frozenset[str] | None):
                 ids.extend([doc] * len(at))
                 terms.extend(at)
                 places.extend(at.values())
-            yield pd.DataFrame({"_doc": ids, "_term": terms, "_places": places})
+            if ids:  # an empty frame has no type for the lists
+                yield pd.DataFrame({"_doc": ids, "_term": terms, "_places": places})
 
     return run
 
@@ -59,7 +60,8 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text:
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [(i, w, n) for i, text in zip(b["_item"], b["_text"], strict=True) for n, w in enumerate(words(text))]
-        yield pd.DataFrame(out, columns=["_item", "_term", "_n"])
+        if out:
+            yield pd.DataFrame(out, columns=["_item", "_term", "_n"])
 
 
 def _rare_matches(item: list[tuple[int, str]], doc: list[tuple[int, str]]) -> list[tuple[int, int]]:
