@@ -17,7 +17,8 @@ def _rows(kind: str, columns: list[str]):
             out = []
             for path, text, language in zip(b["path"], b["content"], b["code_language"], strict=True):
                 out.extend({"path": path, **x} for x in getattr(read_source(text, language), kind))
-            yield pd.DataFrame(out, columns=["path", *columns])
+            if out:  # an empty frame has no type for lists
+                yield pd.DataFrame(out, columns=["path", *columns])
 
     return run
 
