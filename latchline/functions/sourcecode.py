@@ -19,7 +19,7 @@ DEFINITIONS = {
     "c": r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*\)\s*\{",
 }
 CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-NO_CALLS = frozenset("if for while switch catch return function func sizeof else".split())
+NO_CALLS = frozenset("if for while switch catch return function func sizeof else async await".split())
 
 
 @dataclass

@@ -39,7 +39,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     A file is read whole so that its line numbers hold; for files too large for that,
     write the numbers with the lines.
     """
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.input_file_name())
     parts = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("_n", "line"))
     return parts.select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "line").filter(F.col("line_no").isNotNull())
 
