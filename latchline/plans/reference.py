@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latchline.functions.stats import interpolated
 from latchline.functions.units import bare_name, duration_ms, name_tokens, token_overlap
 from latchline.operators import linkage, runtime_logs, timings
-from latchline.operators.ci_logs import flat_steps
+from latchline.operators.ci_logs import clean_line, flat_steps
 from latchline.operators.ordered import CHUNK, with_position
 from latchline.operators.text_rules import classify_domain, security_signals, stable_id
 from latchline.tables import micros, table
@@ -446,3 +446,91 @@ def events_sessions(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events")
     g = e.groupBy("user_id", F.session_window(F.col("ts"), "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", micros(F.col("w.start")).alias("from_us"), micros(F.col("w.end")).alias("to_us"), "n")
+
+
+# ---- further aggregates and windows
+
+
+@query(
+    """with e as (select app_name, unnest(from_json(calls_json, '["varchar"]')) callee from indexed_functions),
+c as (select app_name, callee, count(*) n from e where trim(callee) <> '' group by all)
+select app_name, callee, n from c qualify row_number() over (partition by app_name order by n desc, callee) = 1"""
+)
+def most_called_function(spark: SparkSession, root: str) -> DataFrame:
+    """Mode of the items of a JSON list per app, ties by name."""
+    e = table(spark, root, "indexed_functions").select("app_name", F.explode(F.from_json("calls_json", "array<string>")).alias("callee"))
+    c = e.filter(F.trim("callee") != "").groupBy("app_name", "callee").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("app_name").orderBy(F.desc("n"), "callee")
+    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+@query(
+    """select app_name, count(*) functions, count(*) filter (where list_contains(from_json(calls_json, '["varchar"]'), function_name)) calls_itself, count(*) filter (where calls_json is null) leaves from indexed_functions group by 1"""
+)
+def call_lists(spark: SparkSession, root: str) -> DataFrame:
+    """Membership in JSON lists, counted per app."""
+    f = table(spark, root, "indexed_functions").withColumn("c", F.from_json("calls_json", "array<string>"))
+    itself = F.coalesce(F.array_contains("c", F.col("function_name")), F.lit(False))
+    return f.groupBy("app_name").agg(F.count(F.lit(1)).alias("functions"), F.count_if(itself).alias("calls_itself"), F.count_if(F.col("calls_json").isNull()).alias("leaves"))
+
+
+@query(
+    """with f as (select session_id, func_name, min(line_no) first_line from universal_log_records where line_no is not null group by all)
+select *, dense_rank() over (partition by session_id order by first_line)::int place from f"""
+)
+def first_seen_order(spark: SparkSession, root: str) -> DataFrame:
+    """Functions of a session in the order of their first line; ranked after grouping, over distinct names."""
+    u = table(spark, root, "universal_log_records").filter("line_no is not null").groupBy("session_id", "func_name").agg(F.min("line_no").alias("first_line"))
+    return u.withColumn("place", F.dense_rank().over(Window.partitionBy("session_id").orderBy("first_line")).cast("int"))
+
+
+@query(
+    "select id step_id, round_even(duration_ms / sum(duration_ms) over (partition by pipeline_run_id) * 100, 3) pct from step_timings where duration_ms > 0 qualify sum(duration_ms) over (partition by pipeline_run_id) > 0"
+)
+def step_shares(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "step_timings").select("id", "pipeline_run_id", "duration_ms").filter("duration_ms > 0")
+    total = F.sum("duration_ms").over(Window.partitionBy("pipeline_run_id"))
+    return s.select(F.col("id").alias("step_id"), F.bround(F.col("duration_ms") / total * 100, 3).alias("pct"))
+
+
+@query(
+    """select id, round_even(avg(total_duration_ms) over w, 1) moving_ms, count(total_duration_ms) over w n from pipeline_runs window w as (partition by repository_id order by created_at, id rows between 4 preceding and current row)"""
+)
+def moving_run_time(spark: SparkSession, root: str) -> DataFrame:
+    w = Window.partitionBy("repository_id").orderBy("created_at", "id").rowsBetween(-4, 0)
+    r = table(spark, root, "pipeline_runs")
+    return r.select("id", F.bround(F.avg("total_duration_ms").over(w), 1).alias("moving_ms"), F.count("total_duration_ms").over(w).alias("n"))
+
+
+@query("select id, repository_id, total_duration_ms from pipeline_runs where total_duration_ms is not null order by total_duration_ms desc, id limit 10")
+def longest_runs(spark: SparkSession, root: str) -> DataFrame:
+    r = table(spark, root, "pipeline_runs").filter("total_duration_ms is not null")
+    return r.orderBy(F.desc("total_duration_ms"), "id").limit(10).select("id", "repository_id", "total_duration_ms")
+
+
+@query("select event_type, count(*) n, sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint total_k from events group by 1")
+def event_properties(spark: SparkSession, root: str) -> DataFrame:
+    """A field of JSON text, unreadable text counting as nothing."""
+    e = table(spark, root, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total_k"))
+
+
+@query(
+    """with r as (select repository_id, run_number, created_at, id, lag(conclusion) over (partition by repository_id order by created_at, id) before, conclusion from pipeline_runs)
+select id, repository_id, conclusion from r where conclusion = 'failure' and before = 'success'"""
+)
+def newly_failing_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Runs that fail right after one that succeeded."""
+    w = Window.partitionBy("repository_id").orderBy("created_at", "id")
+    r = table(spark, root, "pipeline_runs").select("id", "repository_id", "conclusion", "created_at").withColumn("_b", F.lag("conclusion").over(w))
+    return r.filter("conclusion = 'failure' and _b = 'success'").select("id", "repository_id", "conclusion")
+
+
+@query(
+    """with s as (select log_excerpt e from step_timings where log_excerpt is not null)
+select count(*) texts, count(distinct e) different, sum(length(trim(regexp_replace(regexp_replace(e, '^\\d{4}-\\d{2}-\\d{2}T[\\d:.]+Z\\s*', ''), '##\\[\\w+\\]', '', 'g'), ' ')))::bigint clean_chars from s"""
+)
+def clean_excerpts(spark: SparkSession, root: str) -> DataFrame:
+    """Excerpts without times and marks: how many, how different, how long."""
+    e = table(spark, root, "step_timings").select("log_excerpt").filter("log_excerpt is not null")
+    return e.agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("log_excerpt").alias("different"), F.sum(F.length(clean_line(F.col("log_excerpt")))).alias("clean_chars"))
