@@ -21,11 +21,11 @@ def duration_ms(value: Column, unit: Column) -> Column:
     """Whole milliseconds, cut; micro- and nanoseconds give 1 at least; a bad number gives 0, an unknown unit counts as ms."""
     v = F.when(value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), value.try_cast("double"))
     u = F.lower(F.trim(unit, F.lit(".")))
-    out = F.when(v.isNull(), F.lit(0).cast("long"))
-    for factor, names in UNITS_MS.items():
-        scaled = (v * factor if factor >= 1 else v / round(1 / factor)).cast("long")
-        out = out.when(u.isin(*names), F.greatest(scaled, F.lit(1).cast("long")) if factor < 1 else scaled)
-    return out.otherwise(v.cast("long"))
+    # One product and one quotient, so that the value's expression is not repeated per unit.
+    times = F.when(u.isin(*UNITS_MS[1000.0]), 1000.0).when(u.isin(*UNITS_MS[60000.0]), 60000.0).otherwise(1.0)
+    parts = F.when(u.isin(*UNITS_MS[0.001]), 1000.0).when(u.isin(*UNITS_MS[0.000001]), 1000000.0).otherwise(1.0)
+    least = F.when(u.isin(*UNITS_MS[0.001], *UNITS_MS[0.000001]), 1)
+    return F.coalesce(F.greatest((v * times / parts).cast("long"), F.when(v.isNotNull(), least)), F.lit(0)).cast("long")
 
 
 ISO_TIME = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)"

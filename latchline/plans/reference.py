@@ -534,3 +534,23 @@ def clean_excerpts(spark: SparkSession, root: str) -> DataFrame:
     """Excerpts without times and marks: how many, how different, how long."""
     e = table(spark, root, "step_timings").select("log_excerpt").filter("log_excerpt is not null")
     return e.agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("log_excerpt").alias("different"), F.sum(F.length(clean_line(F.col("log_excerpt")))).alias("clean_chars"))
+
+
+@query("select app_name, code_language, count(*) functions, count(distinct file_path) files, sum(end_line_number - line_number + 1)::bigint code_lines from indexed_functions group by all")
+def code_languages(spark: SparkSession, root: str) -> DataFrame:
+    f = table(spark, root, "indexed_functions").groupBy("app_name", "code_language")
+    return f.agg(F.count(F.lit(1)).alias("functions"), F.count_distinct("file_path").alias("files"), F.sum(F.col("end_line_number") - F.col("line_number") + 1).alias("code_lines"))
+
+
+@query(
+    """select session_id, count(*) records, count(*) filter (where length(log_excerpt) > 200) cut, max(length(substring(log_excerpt, 1, 200))) longest from universal_log_records group by 1"""
+)
+def excerpt_sizes(spark: SparkSession, root: str) -> DataFrame:
+    u = table(spark, root, "universal_log_records").groupBy("session_id")
+    return u.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.length("log_excerpt") > 200).alias("cut"), F.max(F.length(F.substring("log_excerpt", 1, 200))).cast("long").alias("longest"))
+
+
+@query()
+def log_previews(spark: SparkSession, root: str) -> DataFrame:
+    """Format and first records of every stored file."""
+    return runtime_logs.preview(stored_lines(spark, root))

@@ -73,12 +73,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (column-pruned, splittable)."""
+def stored(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (column-pruned, splittable).
+
+    With ``by`` the files are laid out by those columns, so that filters on them skip the others.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = df.write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -199,3 +199,15 @@ def test_sources(spark, tmp_path):
 def test_views(spark, small):
     assert "step_timings" in files.register(spark, small)
     assert spark.sql("select count(*) from step_timings").first()[0] > 0
+
+
+def test_labels_paths_addresses(spark):
+    df = spark.createDataFrame([("dissect_nas_attach", "epan/packet-nas.c"), ("diameter_ccr", "x/tcp.c"), ("anything", "y.c"), ("gtp_echo", "GTP/a.c")], "l string, p string")
+    hints = text_rules.path_hints(F.col("l"))
+    assert [r[0] for r in df.select(text_rules.fits_hints(F.col("p"), hints)).collect()] == [True, False, True, True]
+    urls = spark.createDataFrame([("https://host.example/own/rep.git",), ("git@host.example:own/rep",), ("own/rep/",), ("nothing",), (None,)], "u string")
+    assert [r[0] for r in urls.select(text_rules.repository_of(F.col("u"))).collect()] == ["own/rep", "own/rep", "own/rep", None, None]
+    t = spark.createDataFrame([("Cache the dependency", ["No caching", "Missing dependency cache"]), ("zzz", ["a", "b"]), ("x", [])], "t string, p array<string>")
+    assert [r[0] for r in t.select(text_rules.nearest_pattern(F.col("t"), F.col("p"))).collect()] == ["Missing dependency cache", "a", None]
+    f = spark.createDataFrame([("db/a.py", "c"), ("db/a.py", "c"), ("core/x.py", "c")], "path string, category string")
+    assert {(r["file_domain"], r["findings"], r["files"]) for r in text_rules.finding_counts(f).collect()} == {("database", 2, 1), ("backend", 1, 1)}
