@@ -13,7 +13,7 @@ SPIKE = 6.0
 #: Equal readings in a row that count as stuck.
 STUCK = 6
 #: Share of a block's readings, and least number, that make a second level usual.
-SUPPORT_SHARE, SUPPORT_LEAST = 0.04, 4
+SUPPORT_SHARE, SUPPORT_LEAST = 0.075, 4
 #: Spread below which log readings count as constant (about 1 %).
 LEAST_SPREAD = 0.01
 #: Median of the smallest of four differences between standard normal readings and its neighbours.
