@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latchline.functions.units import first_of
+from latchline.operators.ordered import CHUNK, with_running
 
 # Markers of the flow that loads a trace, in order, what breaks it, and what may follow its end.
 BEGIN = "[console-function || loadTrace]"
@@ -98,10 +99,15 @@ def tagged_fields(line: Column) -> list[Column]:
 
 
 def between_times(lines: DataFrame, low: str, high: str) -> DataFrame:
-    """Lines whose time of day lies in the range; lines without a time go with the line before that has one."""
+    """Lines whose time of day lies in the range; lines without a time go with the line before that has one.
+
+    Lines with a time number the stretches of the file; a stretch takes its first line's time.
+    """
     stamp = F.nullif(F.regexp_extract("line", r"\b(\d{2}:\d{2}:\d{2})\b", 1), F.lit(""))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_t", F.last(stamp, ignorenulls=True).over(w)).filter(F.col("_t").between(low, high)).drop("_t")
+    rows = lines.filter("file is not null and line_no is not null").withColumn("_t", stamp).withColumn("_c", F.floor(F.col("line_no") / CHUNK))
+    rows = with_running(rows, ["file"], "_c", ["line_no"], F.col("_t").isNotNull().cast("long"), "_k")
+    kept = rows.filter(F.col("_t").between(low, high)).select("file", "_k")
+    return rows.join(kept, ["file", "_k"], "left_semi").drop("_t", "_c", "_k")
 
 
 def request_kind(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latchline.functions.stats import by_index, clamped, interpolated, slope, sorted_values, spread
+from latchline.operators.ordered import with_running
 
 # Weights of share, anomaly and trend in the score, and the trend labels' bound in ms per run.
 SHARE, ANOMALY, TREND, MOST_Z, RISING = 0.5, 0.3, 0.2, 5.0, 10.0
@@ -122,12 +123,20 @@ def session_fleet(sessions: DataFrame) -> DataFrame:
 
 
 def pipeline_fleet(runs: DataFrame) -> DataFrame:
-    """Repositories compared by mean run time: competition rank and the share at most as slow (null with one repository)."""
-    repos = runs.filter("total_duration_ms is not null and total_duration_ms > 0").groupBy("repository_id").agg(F.avg("total_duration_ms").alias("avg_ms"), F.count(F.lit(1)).alias("runs"))
-    order = Window.orderBy("avg_ms")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return repos.select(
-        "repository_id", "runs", F.bround("avg_ms", 1).alias("avg_ms"), F.rank().over(order).alias("rank_no"), F.when(n >= 2, F.bround(F.cume_dist().over(order) * 100, 1)).alias("percentile")
+    """Repositories compared by mean run time: competition rank and the share at most as slow (null with one repository).
+
+    Equal means are counted first; running counts over chunks of the means give rank and
+    share, so there may be any number of repositories.
+    """
+    repos = runs.filter("total_duration_ms is not null and total_duration_ms > 0").groupBy("repository_id").agg(F.avg("total_duration_ms").alias("_avg"), F.count(F.lit(1)).alias("runs"))
+    values = repos.groupBy("_avg").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)).withColumn("_c", F.floor(F.log2("_avg") * 64))
+    placed = with_running(values, ["_all"], "_c", ["_avg"], F.col("_n"), "_upto").select("_avg", "_n", "_upto")
+    met = repos.join(placed, "_avg")
+    return repos.sparkSession.sql(
+        """select repository_id, runs, bround(_avg, 1) as avg_ms, cast(_upto - _n + 1 as int) as rank_no,
+        case when (select sum(_n) from {values}) >= 2 then bround(_upto / (select sum(_n) from {values}) * 100, 1) end as percentile from {met}""",
+        met=met,
+        values=values.select("_n"),
     )
 
 
@@ -152,6 +161,10 @@ def line_model(rows: DataFrame, x: str, y: str, k: float = 3.0) -> DataFrame:
     fit = fit.withColumn("_a", F.col("_my") - F.col("_b") * F.col("_mx"))
     # Residual variance from the moments, so the table is read once for the line and once for the answer.
     fit = fit.withColumn("_s", F.sqrt(F.greatest(F.col("_vy") - F.col("_b") * F.col("_b") * F.col("_vx"), F.lit(0.0))))
-    met = kept.crossJoin(F.broadcast(fit.select("_a", "_b", "_s")))  # one row, by aggregation
-    out = met.withColumn("expected", F.col("_a") + F.col("_b") * F.col(x)).withColumn("residual", F.col(y) - F.col("expected"))
-    return out.withColumn("is_anomaly", F.abs("residual") > k * F.col("_s")).drop("_a", "_b", "_s")
+    out = rows.sparkSession.sql(
+        f"""select k.*, (select _a from {{fit}}) + (select _b from {{fit}}) * `{x}` as expected, `{y}` - ((select _a from {{fit}}) + (select _b from {{fit}}) * `{x}`) as residual,
+        abs(`{y}` - ((select _a from {{fit}}) + (select _b from {{fit}}) * `{x}`)) > {k} * (select _s from {{fit}}) as is_anomaly from {{kept}} k""",
+        kept=kept,
+        fit=fit,
+    )
+    return out

@@ -11,10 +11,11 @@ from latchline.functions.stats import interpolated
 from latchline.functions.units import bare_name, duration_ms, name_tokens, token_overlap
 from latchline.operators import linkage, runtime_logs, timings
 from latchline.operators.ci_logs import clean_line, flat_steps
-from latchline.operators.ordered import CHUNK, with_position
+from latchline.operators.ordered import CHUNK, with_neighbour, with_position
 from latchline.operators.text_rules import classify_domain, security_signals, stable_id
 from latchline.tables import micros, table
 
+DAY_US = 86_400_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -96,10 +97,13 @@ def latest_run_per_repository(spark: SparkSession, root: str) -> DataFrame:
     (select round_even(avg(total_duration_ms), 1) from pipeline_runs where total_duration_ms is not null) avg_run_ms, (select count(*) from step_timings where status = 'failure') failed_steps"""
 )
 def dashboard_counts(spark: SparkSession, root: str) -> DataFrame:
-    repos = table(spark, root, "tracked_repositories").agg(F.count_if("is_active").alias("repositories"))
-    runs = table(spark, root, "pipeline_runs").agg(F.count(F.lit(1)).alias("runs"), F.bround(F.avg("total_duration_ms"), 1).alias("avg_run_ms"))
-    steps = table(spark, root, "step_timings").agg(F.count_if(F.col("status") == "failure").alias("failed_steps"))
-    return repos.join(runs).join(steps)  # one row each
+    return spark.sql(
+        """select (select count_if(is_active) from {repos}) as repositories, (select count(*) from {runs}) as runs,
+        (select bround(avg(total_duration_ms), 1) from {runs}) as avg_run_ms, (select count_if(status = 'failure') from {steps}) as failed_steps""",
+        repos=table(spark, root, "tracked_repositories"),
+        runs=table(spark, root, "pipeline_runs"),
+        steps=table(spark, root, "step_timings"),
+    )
 
 
 @query(
@@ -489,17 +493,22 @@ def first_seen_order(spark: SparkSession, root: str) -> DataFrame:
 )
 def step_shares(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "step_timings").select("id", "pipeline_run_id", "duration_ms").filter("duration_ms > 0")
-    total = F.sum("duration_ms").over(Window.partitionBy("pipeline_run_id"))
-    return s.select(F.col("id").alias("step_id"), F.bround(F.col("duration_ms") / total * 100, 3).alias("pct"))
+    total = s.groupBy("pipeline_run_id").agg(F.sum("duration_ms").alias("_t"))
+    return s.join(total, "pipeline_run_id").select(F.col("id").alias("step_id"), F.bround(F.col("duration_ms") / F.col("_t") * 100, 3).alias("pct"))
 
 
 @query(
     """select id, round_even(avg(total_duration_ms) over w, 1) moving_ms, count(total_duration_ms) over w n from pipeline_runs window w as (partition by repository_id order by created_at, id rows between 4 preceding and current row)"""
 )
 def moving_run_time(spark: SparkSession, root: str) -> DataFrame:
-    w = Window.partitionBy("repository_id").orderBy("created_at", "id").rowsBetween(-4, 0)
-    r = table(spark, root, "pipeline_runs")
-    return r.select("id", F.bround(F.avg("total_duration_ms").over(w), 1).alias("moving_ms"), F.count("total_duration_ms").over(w).alias("n"))
+    r = table(spark, root, "pipeline_runs").select("id", "repository_id", "total_duration_ms", "created_at", F.floor(micros("created_at") / DAY_US).alias("_c"))
+    r = with_position(r, ["repository_id"], "_c", ["created_at", "id"], "_p").drop("_c")
+    # Blocks of positions, each with the four rows before it, so that a repository of any size is split.
+    home = F.floor(F.col("_p") / CHUNK)
+    r = r.withColumn("_home", home).withColumn("_b", F.explode(F.array_distinct(F.array(home, F.floor((F.col("_p") + 4) / CHUNK)))))
+    w = Window.partitionBy("repository_id", "_b").orderBy("_p").rowsBetween(-4, 0)
+    r = r.select("id", "_home", "_b", F.bround(F.avg("total_duration_ms").over(w), 1).alias("moving_ms"), F.count("total_duration_ms").over(w).alias("n"))
+    return r.filter("_home = _b").drop("_home", "_b")
 
 
 @query("select id, repository_id, total_duration_ms from pipeline_runs where total_duration_ms is not null order by total_duration_ms desc, id limit 10")
@@ -521,8 +530,8 @@ select id, repository_id, conclusion from r where conclusion = 'failure' and bef
 )
 def newly_failing_runs(spark: SparkSession, root: str) -> DataFrame:
     """Runs that fail right after one that succeeded."""
-    w = Window.partitionBy("repository_id").orderBy("created_at", "id")
-    r = table(spark, root, "pipeline_runs").select("id", "repository_id", "conclusion", "created_at").withColumn("_b", F.lag("conclusion").over(w))
+    r = table(spark, root, "pipeline_runs").select("id", "repository_id", "conclusion", "created_at", F.floor(micros("created_at") / DAY_US).alias("_c"))
+    r = with_neighbour(r, ["repository_id"], "_c", ["created_at", "id"], {"_b": "conclusion"})
     return r.filter("conclusion = 'failure' and _b = 'success'").select("id", "repository_id", "conclusion")
 
 

@@ -211,3 +211,17 @@ def test_labels_paths_addresses(spark):
     assert [r[0] for r in t.select(text_rules.nearest_pattern(F.col("t"), F.col("p"))).collect()] == ["Missing dependency cache", "a", None]
     f = spark.createDataFrame([("db/a.py", "c"), ("db/a.py", "c"), ("core/x.py", "c")], "path string, category string")
     assert {(r["file_domain"], r["findings"], r["files"]) for r in text_rules.finding_counts(f).collect()} == {("database", 2, 1), ("backend", 1, 1)}
+
+
+def test_between_times_takes_continuations(spark):
+    lines = ["no time", "x 10:00:00 a", "more", "10:30:00 b", "11:00:00 c", "tail"]
+    df = spark.createDataFrame([("f", n, x) for n, x in enumerate(lines)], "file string, line_no long, line string")
+    got = flows.between_times(df, "09:00:00", "10:29:00").orderBy("line_no").collect()
+    assert [r["line"] for r in got] == ["x 10:00:00 a", "more"]
+
+
+def test_fleet_ranks_share_ties(spark):
+    runs = spark.createDataFrame([(1, 100), (1, 300), (2, 200), (3, 50), (4, None), (5, 1000)], "repository_id long, total_duration_ms long")
+    got = {r["repository_id"]: (r["rank_no"], r["percentile"]) for r in timings.pipeline_fleet(runs).collect()}
+    assert got == {3: (1, 25.0), 1: (2, 75.0), 2: (2, 75.0), 5: (4, 100.0)}
+    assert timings.pipeline_fleet(runs.filter("repository_id = 3")).first()["percentile"] is None
