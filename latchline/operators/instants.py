@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from latchline.functions.timeparse import candidates
 from latchline.operators.ordered import CHUNK, with_neighbour, with_running
-from latchline.session import shared_path
+from latchline.session import shared_path, stored
 from latchline.tables import micros
 
 DAY_US = 86_400_000_000
@@ -102,6 +102,8 @@ def normalise_instants(
     picked = joined.withColumn("_r", F.array_min(scored)["reading"]).select(
         "_id", "_session", "_seq", F.col("_r.first_us").alias("_one"), F.col("_r.second_us").alias("_two")
     )
+    # Written once: the passes below read five narrow columns instead of joining the dictionary again.
+    picked = stored(picked, "instants-read")
     alone = picked.filter("_session is null or _seq is null").select("_id", F.col("_one").alias("_us"))
     placed = picked.filter("_session is not null and _seq is not null")
     return (
@@ -118,11 +120,10 @@ def _settle_repeats(placed: DataFrame, chunk: int) -> DataFrame:
     would fall before its predecessor; from there on the second instants stand, for
     they lie after every first one.  A call with one instant ends the stretch.
     """
-    calls = placed.groupBy("_session", "_seq").agg(F.min_by(F.struct("_one", "_two"), "_id").alias("_c"))
-    calls = calls.select("_session", "_seq", "_c.*", F.floor(F.col("_seq") / chunk).alias("_chunk"))
     # Sessions without any twice-occurring value need no order.
     doubtful = placed.filter("_two is not null").select("_session").distinct()
-    calls = calls.join(doubtful, "_session", "left_semi")
+    calls = placed.join(doubtful, "_session", "left_semi").groupBy("_session", "_seq").agg(F.min_by(F.struct("_one", "_two"), "_id").alias("_c"))
+    calls = calls.select("_session", "_seq", "_c.*", F.floor(F.col("_seq") / chunk).alias("_chunk"))
     order = (["_session"], "_chunk", ["_seq"])
     near = with_neighbour(calls, *order, {"_prev": "_one", "_prev_two": "_two"})
     run = with_running(near, *order, F.col("_two").isNull().cast("long"), "_stretch")
