@@ -139,10 +139,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     distinct = spots.groupBy("_item", "_term").agg(F.sort_array(F.collect_list("_n")).alias("_at")).join(seen, "_term", "left").fillna(0, ["_docs"])
     order = Window.partitionBy("_item").orderBy("_docs", "_term")
     size = Window.partitionBy("_item")
-    corpus = index.agg(F.count_distinct("_doc").alias("_all"))
+    stock = max(20, int(docs.filter(F.col(text).isNotNull()).count() * STOCK))
     ranked = distinct.withColumn("_r", F.row_number().over(order)).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
     # An item of stock words only keeps its three rarest.
-    kept = ranked.join(F.broadcast(corpus)).filter((F.col("_r") <= LEAST_RARE) | ((F.col("_r") <= F.col("_most")) & (F.col("_docs") <= F.greatest(F.lit(20), F.col("_all") * STOCK))))
+    kept = ranked.filter((F.col("_r") <= LEAST_RARE) | ((F.col("_r") <= F.col("_most")) & (F.col("_docs") <= stock)))
     rare = stored(kept.withColumn("_of", F.count(F.lit(1)).over(size)).select("_item", "_term", "_at", "_of"), "leak-rare")
     small = broadcast_if_small(rare, 1_000_000)
     # Offsets in overlapping buckets, so that matches a little apart still meet in one of them.
