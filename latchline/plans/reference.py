@@ -340,7 +340,7 @@ def tagged_calls(spark: SparkSession, root: str) -> DataFrame:
     """Calls of the tagged format (explicit durations and distances), without the plain fallback for other files."""
     lines = stored_lines(spark, root)
     tagged = lines.join(lines.filter(F.col("line").rlike(runtime_logs.TAGGED_LINE)).select("file").distinct(), "file", "left_semi")
-    out = runtime_logs.parse_radcom(tagged)
+    out = runtime_logs.parse_tagged(tagged)
     explicit = out.join(lines.select("file", "line_no", "line"), ["file", "line_no"]).filter(F.col("line").rlike(runtime_logs.TAGGED_LINE))
     return explicit.select("file", "line_no", "func_name", "call_number", "duration_ms", "timestamp_us")
 

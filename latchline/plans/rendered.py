@@ -74,8 +74,8 @@ round_trip("heuristic", _twin("n", "ms"))(lambda e: _lines(e, _text(_iso(), " ",
 round_trip("enter_exit", _twin("2 * n", "ms"))(
     lambda e: _lines(e, _text(_iso(), " [ENTER] ", _n()), _text(F.date_format(F.timestamp_micros(F.unix_micros("at") + F.col("ms") * 1000), ISO), " [EXIT] ", _n())), runtime_logs.parse_enter_exit
 )
-round_trip("radcom", _twin("n", "ms", part=" where trunc(value * 10) > 0"))(
-    lambda e: _lines(e, _text("L:INFO D:", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"), " F:com.x.M(1) FN:", _n(), " TI:main C:Core R:completed in ", _ms(), " ms")), runtime_logs.parse_radcom
+round_trip("tagged", _twin("n", "ms", part=" where trunc(value * 10) > 0"))(
+    lambda e: _lines(e, _text("L:INFO D:", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"), " F:com.x.M(1) FN:", _n(), " TI:main C:Core R:completed in ", _ms(), " ms")), runtime_logs.parse_tagged
 )
 round_trip("rails", _twin("3 * n", "s", name="'Do#' || event_type"))(
     lambda e: _lines(

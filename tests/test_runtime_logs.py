@@ -28,7 +28,7 @@ def test_known_answers(spark):
     assert one(spark, rl.parse_tshark, "dissect_tcp   elapsed=0.342s", "dissect_ip elapsed=2", "0.5\thttp") == [("dissect_tcp", 342), ("dissect_ip", 2000), ("http", 500)]
     assert one(spark, rl.parse_enter_exit, "--> processPayment", "<<< processPayment (1234ms)", "2024-01-01T00:00:00Z [ENTER] fun", "2024-01-01T00:00:03Z [EXIT] fun", "append foo") == [("processPayment", 1234), ("fun", 3000)]
     tagged = "L:INFO D:2025-10-27 10:{} F:com.x.Module(57) FN:{} TI:main C:Cat R:{}"
-    assert one(spark, rl.parse_radcom, tagged.format("23:25.312", "name", "completed in 5787 ms"), tagged.format("23:25.000", "other", "x"), tagged.format("23:27.000", "other", "x"), tagged.format("24:28.000", "other", "x"), tagged.format("23:25.312", "run", "took 5 ms")) == [("name", 5787), ("other", 2000)]
+    assert one(spark, rl.parse_tagged, tagged.format("23:25.312", "name", "completed in 5787 ms"), tagged.format("23:25.000", "other", "x"), tagged.format("23:27.000", "other", "x"), tagged.format("24:28.000", "other", "x"), tagged.format("23:25.312", "run", "took 5 ms")) == [("name", 5787), ("other", 2000)]
     assert one(spark, rl.parse_heuristic, "parse_frame took 12.3ms", "reassemble_stream: 200ms", "completed in 1.2s: process_packet", "the took 5ms", "nothing") == [("parse_frame", 12), ("reassemble_stream", 200), ("process_packet", 1200)]
     rails = ['Started GET "/api/users" for 127.0.0.1 at 2024-03-19 10:32:01 +0000', "Processing by UsersController#index as JSON", "Completed 200 OK in 1234ms (Views: 12.3ms | ActiveRecord: 890ms)"]
     assert sorted(one(spark, rl.parse_rails, *rails)) == [("UsersController#index", 1234), ("UsersController#index:ActiveRecord", 890), ("UsersController#index:Views", 12)]
