@@ -16,10 +16,12 @@ from latchline.tables import broadcast_if_small
 SHARE, RARE_SHARE = 0.3, 0.25
 #: Least share of the rare words of the matched stretch that are matched, and words counted beyond its ends.
 CLOSE, EDGE = 0.5, 12
-#: An item's rare words are this share of its distinct words, by document frequency in the corpus.
+#: An item's rare words are this share of its distinct words, by document frequency where no item leaked.
 RAREST = 1 / 3
-#: Words in more than this share of all documents are stock wording, not rare.
+#: Words in more than this share of the documents that hold no item are stock wording, not rare.
 STOCK = 0.01
+#: About so many documents, chosen by hash, tell how often a word occurs where no item leaked.
+SAMPLED = 10_000
 #: Rare words a candidate shares with the item at one offset, at least, and as a share of the rare words.
 LEAST_RARE, CANDIDATE_SHARE = 3, 0.15
 #: Words by which the offset may wander inside one place (lines between, dropped words).
@@ -64,6 +66,28 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["_item", "_term", "_n"])
 
 
+def background(index: DataFrame, spots: DataFrame, one_in: int) -> DataFrame:
+    """``(_term, _docs)``: sampled documents with the term, without those that hold a passage of any item.
+
+    Leaked copies would make an item's own names look common the more it leaked.  A document
+    of the sample is left out if it shares words that few items have with an item, and with
+    these at least ``SHARE`` of all its words.
+    """
+    sample = index.filter(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)
+    times = spots.groupBy("_item", "_term").agg(F.count(F.lit(1)).alias("_times"))
+    size = Window.partitionBy("_item")
+    own = times.join(times.groupBy("_term").agg(F.count(F.lit(1)).alias("_items")), "_term")
+    own = own.withColumn("_r", F.rank().over(size.orderBy("_items"))).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
+    own = own.filter(F.col("_r") <= F.col("_most")).withColumn("_of", F.count(F.lit(1)).over(size)).select("_item", "_term", "_of")
+    enough = F.greatest(F.least(F.lit(LEAST_RARE), F.col("_of")), F.ceil(F.col("_of") * CANDIDATE_SHARE))
+    near = sample.join(broadcast_if_small(own, 1_000_000), "_term").groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("_hits"), F.first("_of").alias("_of"))
+    near = near.filter(F.col("_hits") >= enough).select("_doc", "_item")
+    lengths = times.groupBy("_item").agg(F.sum("_times").alias("_length"))
+    held = near.join(sample, "_doc").join(times, ["_item", "_term"]).groupBy("_doc", "_item").agg(F.sum(F.least(F.size("_places"), "_times")).alias("_held"))
+    leaking = held.join(lengths, "_item").filter(F.col("_held") >= F.col("_length") * SHARE).select("_doc").distinct()
+    return sample.join(leaking, "_doc", "left_anti").groupBy("_term").agg(F.count(F.lit(1)).alias("_docs"))
+
+
 def _rare_matches(item: list[tuple[int, str]], doc: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """Places (item, document) of a longest common subsequence of rare words."""
     n, m = len(item), len(doc)
@@ -121,8 +145,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``(doc_id, item_id, word_share, rare_share, closeness)`` of every document that holds a passage of an item.
 
-    Corpus postings of all test words are stored once; document frequencies over the
-    whole corpus tell each item's rarest words.  Their lists, shifted by the word's place in
+    Corpus postings of all test words are stored once; document frequencies tell
+    each item's rarest words, for a widely leaked item those of a sample without leaked passages.  Their lists, shifted by the word's place in
     the item, are intersected: candidates hold enough of them at one offset.  Candidates are
     checked exactly by the longest common subsequences of rare words, then of all words
     around the stretch these mark.
@@ -135,12 +159,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     spots = stored(given.mapInPandas(_item_rows, f"_item {dict(given.dtypes)['_item']}, _term string, _n int"), "leak-items")
     vocabulary = spots.select("_term").distinct()
     index = stored(positional_index(docs, vocabulary, doc_id, text), "leak-index")
-    seen = index.groupBy("_term").agg(F.count(F.lit(1)).alias("_docs"))
-    distinct = spots.groupBy("_item", "_term").agg(F.sort_array(F.collect_list("_n")).alias("_at")).join(seen, "_term", "left").fillna(0, ["_docs"])
-    order = Window.partitionBy("_item").orderBy("_docs", "_term")
+    total = docs.filter(F.col(text).isNotNull()).count()
+    stock, one_in = max(20, int(total * STOCK)), max(1, total // SAMPLED)
+    seen = index.groupBy("_term").agg(F.count(F.lit(1)).alias("_all"))
+    alone = background(index, spots, one_in).withColumn("_docs", F.col("_docs") * one_in)
+    distinct = spots.groupBy("_item", "_term").agg(F.sort_array(F.collect_list("_n")).alias("_at")).join(seen, "_term", "left").join(alone, "_term", "left").fillna(0, ["_all", "_docs"])
+    distinct = distinct.join(spots.groupBy("_term").agg(F.count_distinct("_item").alias("_items")), "_term")
     size = Window.partitionBy("_item")
-    stock = max(20, int(docs.filter(F.col(text).isNotNull()).count() * STOCK))
-    ranked = distinct.withColumn("_r", F.row_number().over(order)).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
+    ranked = distinct.withColumn("_r", F.row_number().over(size.orderBy("_all", "_term"))).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
+    # Leaked widely: among the rarest third are words that are stock wording by the leaked copies only.
+    hot = F.max((F.col("_r") <= F.col("_most")) & (F.col("_all") - F.col("_docs") > stock) & (F.col("_docs") <= stock)).over(size)
+    # There the count without leaked passages tells, and words as rare as the third's last one stay:
+    # cut by spelling they would leave parts of the item without any.
+    ranked = ranked.withColumn("_hot", hot).withColumn("_r", F.when(F.col("_hot"), F.rank().over(size.orderBy("_docs", "_items"))).otherwise(F.col("_r")))
+    ranked = ranked.withColumn("_docs", F.when(F.col("_hot"), F.col("_docs")).otherwise(F.col("_all")))
     # An item of stock words only keeps its three rarest.
     kept = ranked.filter((F.col("_r") <= LEAST_RARE) | ((F.col("_r") <= F.col("_most")) & (F.col("_docs") <= stock)))
     rare = stored(kept.withColumn("_of", F.count(F.lit(1)).over(size)).select("_item", "_term", "_at", "_of"), "leak-rare")
@@ -151,8 +183,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     met = met.withColumn("_b", F.floor((F.col("_p") - F.col("_n")) / WANDER))
     met = met.select("_doc", "_item", "_term", "_of", F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"))
     agreed = met.groupBy("_doc", "_item", "_b").agg(F.count_distinct("_term").alias("_hits"), F.first("_of").alias("_of"))
-    enough = F.greatest(F.least(F.lit(LEAST_RARE), F.col("_of")), F.ceil(F.col("_of") * CANDIDATE_SHARE))
-    candidates = agreed.filter(F.col("_hits") >= enough).select("_doc", "_item").distinct()
+    least = F.greatest(F.least(F.lit(LEAST_RARE), F.col("_of")), F.ceil(F.col("_of") * CANDIDATE_SHARE))
+    candidates = agreed.filter(F.col("_hits") >= least).select("_doc", "_item").distinct()
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     whole = spots.groupBy("_item").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_term"))), lambda x: x["_term"]).alias("_words"))
     whole = broadcast_if_small(whole.join(rare.groupBy("_item").agg(F.collect_list("_term").alias("_rare")), "_item"))

@@ -56,3 +56,15 @@ def test_passages_found_and_stock_wording_not(spark):
     assert got == want
     assert leaked_items(docs.limit(0), items).count() == 0
     assert leaked_items(docs.limit(20), items.limit(0)).count() == 0
+
+
+def test_partial_passages_of_a_widely_leaked_item_found(spark):
+    item = ITEMS[0][1].split()
+    third = len(item) // 3 + 2
+    rows = [(n, FILL + ITEMS[0][1]) for n in range(600)]
+    rows += [(1000 + n, FILL + " ".join(item[at : at + third])) for n, at in enumerate(range(0, len(item) - third, 4))]
+    rows += [(2000 + n, FILL + " ".join(item[:third])) for n in range(300)]
+    want = {(n, 0) for n, _ in rows}
+    rows += [(5000 + n, FILL * 4) for n in range(1200)]
+    got = leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string, suite string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
