@@ -18,14 +18,15 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-#: Largest number of rows a dimension may have to be broadcast unasked.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes (as JSON text) a dimension may have at most to be broadcast unasked.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``limit`` rows.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking that it has at most ``rows`` rows and ``size`` bytes.
 
-    The count stops at ``limit + 1`` rows; a larger side is returned as it is and
+    The check stops after ``rows + 1`` rows; a larger side is returned as it is and
     the optimiser chooses a shuffled join.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["b"] or 0) <= size else df
