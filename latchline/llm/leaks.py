@@ -10,34 +10,35 @@ from pyspark.sql import functions as F
 
 from latchline.llm.words import common_subsequence, words
 from latchline.session import spread, stored
-from latchline.tables import broadcast_if_small
 
 #: Least share of an item's words, and of its rare words, that a document must hold in order in one place.
-SHARE, RARE_SHARE = 0.3, 0.25
+SHARE, RARE_SHARE = 0.3, 0.2
 #: Least share of the rare words of the matched stretch that are matched, and words counted beyond its ends.
 CLOSE, EDGE = 0.5, 12
-#: An item's rare words are this share of its distinct words, by document frequency where no item leaked.
-RAREST = 1 / 3
-#: Words in more than this share of the documents that hold no item are stock wording, not rare.
-STOCK = 0.01
-#: About so many documents, chosen by hash, tell how often a word occurs where no item leaked.
-SAMPLED = 10_000
-#: Rare words a candidate shares with the item at one offset, at least, and as a share of the rare words.
-LEAST_RARE, CANDIDATE_SHARE = 3, 0.15
+#: A word's commonness is its share of the documents without passages plus its share of the other items, each
+#: with so many documents and items added to the count.  Rare words are the least common third of an item's
+#: words, all that are as rare as the last of them included, but none commoner than ``STOCK``;
+#: in any case the ``LEAST_RARE`` rarest.
+RAREST, STOCK, MORE_DOCS, MORE_ITEMS, LEAST_RARE = 1 / 3, 0.01, 1000, 100, 3
+#: The index is searched for the rarest words of each of so many parts of an item: a third covers one of them whole.
+PARTS, PART_WORDS, PART_LEAST = 6, 4, 3
+#: Searched words that a candidate shares with an item at one offset: so many that few items have, or so many of one part, one such among them.
+LEAST_SHARED = 2
 #: Words by which the offset may wander inside one place (lines between, dropped words).
 WANDER = 192
-#: Up to so many test words each task filters its postings itself; beyond, they are joined.
-HELD_WORDS = 2_000_000
+#: Up to so many bytes of test words are sent to each task, which filters its postings itself; beyond, they are joined.
+HELD_BYTES = 64 << 20
 
 
-def _posting_rows(known: frozenset[str] | None):
+def _posting_rows(known):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None if known is None else known.value
         for b in batches:
             ids, terms, places = [], [], []
             for doc, text in zip(b["_doc"], b["_text"], strict=True):
                 at: dict[str, list[int]] = {}
                 for i, w in enumerate(words(text)):
-                    if known is None or w in known:
+                    if held is None or w in held:
                         at.setdefault(w, []).append(i)
                 ids.extend([doc] * len(at))
                 terms.extend(at)
@@ -53,39 +54,72 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str, text:
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter("_doc is not null and _text is not null")
     rows = spread(rows)
     shape = f"_doc {dict(rows.dtypes)['_doc']}, _term string, _places array<int>"
-    first = vocabulary.limit(HELD_WORDS + 1).collect()
-    if len(first) <= HELD_WORDS:
-        return rows.mapInPandas(_posting_rows(frozenset(r[0] for r in first)), shape)
+    size = vocabulary.agg(F.sum(F.octet_length("_term") + F.lit(64))).first()[0] or 0
+    if size <= HELD_BYTES:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in vocabulary.collect()))
+        return rows.mapInPandas(_posting_rows(known), shape)
     return rows.mapInPandas(_posting_rows(None), shape).join(vocabulary, "_term", "left_semi")
 
 
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = [(i, w, n) for i, text in zip(b["_item"], b["_text"], strict=True) for n, w in enumerate(words(text))]
+        out = []
+        for i, text in zip(b["_item"], b["_text"], strict=True):
+            w = words(text)
+            parts = max(1, min(PARTS, len(w) // PART_LEAST))
+            out.extend((i, x, n, n * parts // len(w), len(w)) for n, x in enumerate(w))
         if out:
-            yield pd.DataFrame(out, columns=["_item", "_term", "_n"])
+            yield pd.DataFrame(out, columns=["_item", "_term", "_n", "_part", "_length"])
 
 
-def background(index: DataFrame, spots: DataFrame, one_in: int) -> DataFrame:
-    """``(_term, _docs)``: sampled documents with the term, without those that hold a passage of any item.
+def candidates(index: DataFrame, spots: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(_doc, _item)`` where the lists of an item's rarest words agree in their offset.
 
-    Leaked copies would make an item's own names look common the more it leaked.  A document
-    of the sample is left out if it shares words that few items have with an item, and with
-    these at least ``SHARE`` of all its words.
+    The rarest words are taken from each part of the item, so a passage is found by its own
+    words, whatever became of the rest of the item: any third of the item covers one part
+    whole, and words that the corpus lacks are missing in parts only that nobody copied, or
+    were changed one by one.  No frequency is too high.
     """
-    sample = index.filter(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)
-    times = spots.groupBy("_item", "_term").agg(F.count(F.lit(1)).alias("_times"))
+    terms = spots.groupBy("_item", "_part", "_term").agg(F.sort_array(F.collect_list("_n")).alias("_at"))
+    items = spots.groupBy("_term").agg(F.count_distinct("_item").alias("_items"))
+    many = spots.select("_item").distinct().count()
+    part, item = Window.partitionBy("_item", "_part"), Window.partitionBy("_item")
+    ranked = terms.join(seen, "_term", "left").fillna(0, ["_all"]).join(items, "_term")
+    ranked = ranked.withColumn("_own", (F.col("_items") - 1) / F.lit(many + MORE_ITEMS) <= STOCK)
+    # In an item of shared wording only every word is its own.
+    ranked = ranked.withColumn("_own", F.col("_own") | (F.count_if("_own").over(item) < LEAST_RARE))
+    ranked = ranked.withColumn("_r", F.row_number().over(part.orderBy("_all", "_term"))).withColumn("_distinct", F.count(F.lit(1)).over(part))
+    chosen = ranked.filter((F.col("_r") <= PART_WORDS) & (F.col("_all") > 0)).select("_item", "_part", "_term", "_at", "_own", "_distinct")
+    chosen = stored(chosen, "leak-chosen")
+    met = index.join(chosen, "_term").select("_doc", "_item", "_part", "_term", "_own", "_distinct", "_at", F.explode("_places").alias("_p"))
+    met = met.select("_doc", "_item", "_part", "_term", "_own", "_distinct", "_p", F.explode("_at").alias("_n"))
+    # Offsets in overlapping buckets, so that matches a little apart still meet in one of them.
+    near = F.floor((F.col("_p") - F.col("_n")) / WANDER).cast("int")
+    met = met.withColumn("_b", F.explode(F.array(near, near - 1))).groupBy("_doc", "_item", "_b", "_part", "_term").agg(F.first("_own").alias("_own"), F.first("_distinct").alias("_distinct"))
+    parts = met.groupBy("_doc", "_item", "_b", "_part").agg(F.count(F.lit(1)).alias("_hits"), F.count_if("_own").alias("_own"), F.first("_distinct").alias("_distinct"))
+    enough = (F.col("_own") > 0) & (F.col("_hits") >= F.least(F.lit(LEAST_SHARED), F.col("_distinct")))
+    places = parts.groupBy("_doc", "_item", "_b").agg(F.max(enough).alias("_enough"), F.sum("_own").alias("_own"))
+    return places.filter(F.col("_enough") | (F.col("_own") >= LEAST_SHARED)).select("_doc", "_item").distinct()
+
+
+def rare_words(spots: DataFrame, seen: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    """``(_item, _term, _n, _rare)`` of every word of every item.
+
+    Documents with a passage don't make an item's own names common: a word's document
+    frequency leaves out those that hold, with the word, ``SHARE`` of an item that has it.
+    """
+    leaked = held.filter("_strong").select("_doc", F.explode("_met._term").alias("_term")).distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_leaked"))
+    terms = spots.select("_item", "_term").distinct()
+    items = terms.groupBy("_term").agg(F.count(F.lit(1)).alias("_items"))
+    many = spots.select("_item").distinct().count()
+    clean = items.join(seen, "_term", "left").join(leaked, "_term", "left").fillna(0, ["_all", "_leaked"])
+    common = (F.col("_all") - F.col("_leaked")) / F.lit(total + MORE_DOCS) + (F.col("_items") - 1) / F.lit(many + MORE_ITEMS)
     size = Window.partitionBy("_item")
-    own = times.join(times.groupBy("_term").agg(F.count(F.lit(1)).alias("_items")), "_term")
-    own = own.withColumn("_r", F.rank().over(size.orderBy("_items"))).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
-    own = own.filter(F.col("_r") <= F.col("_most")).withColumn("_of", F.count(F.lit(1)).over(size)).select("_item", "_term", "_of")
-    enough = F.greatest(F.least(F.lit(LEAST_RARE), F.col("_of")), F.ceil(F.col("_of") * CANDIDATE_SHARE))
-    near = sample.join(broadcast_if_small(own, 1_000_000), "_term").groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("_hits"), F.first("_of").alias("_of"))
-    near = near.filter(F.col("_hits") >= enough).select("_doc", "_item")
-    lengths = times.groupBy("_item").agg(F.sum("_times").alias("_length"))
-    held = near.join(sample, "_doc").join(times, ["_item", "_term"]).groupBy("_doc", "_item").agg(F.sum(F.least(F.size("_places"), "_times")).alias("_held"))
-    leaking = held.join(lengths, "_item").filter(F.col("_held") >= F.col("_length") * SHARE).select("_doc").distinct()
-    return sample.join(leaking, "_doc", "left_anti").groupBy("_term").agg(F.count(F.lit(1)).alias("_docs"))
+    ranked = terms.join(clean.select("_term", common.alias("_common")), "_term")
+    ranked = ranked.withColumn("_r", F.rank().over(size.orderBy("_common"))).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
+    # An item of stock words only keeps its rarest.
+    rare = (F.col("_r") <= LEAST_RARE) | ((F.col("_r") <= F.col("_most")) & (F.col("_common") <= STOCK))
+    return spots.join(ranked.select("_item", "_term", rare.alias("_rare")), ["_item", "_term"]).select("_item", "_term", "_n", "_rare")
 
 
 def _rare_matches(item: list[tuple[int, str]], doc: list[tuple[int, str]]) -> list[tuple[int, int]]:
@@ -108,89 +142,113 @@ def _rare_matches(item: list[tuple[int, str]], doc: list[tuple[int, str]]) -> li
     return out
 
 
-def shares(item: list[str], rare: set[str], doc: list[str]) -> tuple[float, float, float]:
-    """Ordered matches of one candidate in its best place: rare share, word share, closeness.
+def dense_stretch(rare: list[int], met: list[tuple[int, int]]) -> tuple[int, int]:
+    """First and last index of the longest stretch of ``met`` in which ``CLOSE`` of the item's rare words are matched."""
+    spot = {n: k for k, n in enumerate(rare)}
+    # A stretch is close enough if matched words times (1 - CLOSE) outweigh the others times CLOSE.
+    level, rising, best = [], [], (0, 0)
+    for k, (n, _) in enumerate(met):
+        level.append(k - CLOSE * spot[n])
+        if not rising or level[k] < level[rising[-1]]:
+            rising.append(k)
+    for k in range(len(met) - 1, -1, -1):
+        # Matches a..k are k - a + 1, the rare words among them spot[k] - spot[a] + 1.
+        while rising and level[k] - level[rising[-1]] + 1 - CLOSE >= 0:
+            a = rising.pop()
+            if k - a > best[1] - best[0]:
+                best = (a, k)
+    return best
+
+
+def shares(item: list[str], rare: list[bool], met: dict[str, list[int]]) -> tuple[float, float, float, int]:
+    """Rare share, word share, closeness and longest exact phrase of one candidate in its best place.
 
-    A place is where the rare words' offsets agree.  Rare words matched there in order
-    mark a stretch of the item; closeness is the share of the stretch's rare words that
-    are matched, and words count around that stretch only, so stock wording elsewhere adds nothing.
+    ``met`` are the document's postings of the item's words.  A place is where the rare words'
+    offsets agree.  Rare words matched there in order mark stretches of the item; closeness is
+    the share of a stretch's rare words that are matched, and of each place the longest stretch
+    close enough counts.  Words count around that stretch only, so stock wording elsewhere adds nothing.
     """
-    best, tried = (0.0, 0.0, 0.0), set()
-    places: dict[str, list[int]] = {}
+    spots: dict[str, list[int]] = {}
     for n, w in enumerate(item):
-        if w in rare:
-            places.setdefault(w, []).append(n)
-    hits = [(i, (i - n) // WANDER) for i, w in enumerate(doc) if w in places for n in places[w]]
-    rare_item = [(n, w) for n, w in enumerate(item) if w in rare]
-    for base in sorted({off for _, off in hits}):
-        near = sorted({i for i, off in hits if base <= off <= base + 1})
+        spots.setdefault(w, []).append(n)
+    rare_item = [(n, w) for n, w in enumerate(item) if rare[n]]
+    rare_at = [n for n, _ in rare_item]
+    doc = sorted((p, w) for w, places in met.items() for p in places)
+    buckets: dict[int, set[int]] = {}
+    for k, (p, w) in enumerate(doc):
+        for n in spots.get(w, ()):
+            if rare[n]:
+                b = (p - n) // WANDER
+                buckets.setdefault(b, set()).add(k)
+                buckets.setdefault(b - 1, set()).add(k)
+    best, tried = (0.0, 0.0, 0.0), set()
+    for b in sorted(buckets):
+        near = sorted(buckets[b])
         if (near[0], near[-1]) in tried:
             continue
         tried.add((near[0], near[-1]))
-        met = _rare_matches(rare_item, [(i, doc[i]) for i in near])
-        first, last = met[0], met[-1]
-        inside = sum(1 for n, _ in rare_item if first[0] <= n <= last[0])
-        part = item[max(0, first[0] - EDGE) : last[0] + EDGE + 1]
-        got = common_subsequence(part, doc[max(0, first[1] - EDGE) : last[1] + EDGE + 1]) / len(item)
-        best = max(best, (len(met) / len(rare_item), got, len(met) / inside))
-    return best
+        chain = _rare_matches(rare_item, [doc[k] for k in near])
+        a, z = dense_stretch(rare_at, chain)
+        (n1, p1), (n2, p2) = chain[a], chain[z]
+        inside = sum(1 for n in rare_at if n1 <= n <= n2)
+        part = item[max(0, n1 - EDGE) : n2 + EDGE + 1]
+        around = [w for p, w in doc if p1 - EDGE <= p <= p2 + EDGE]
+        got = common_subsequence(part, around) / len(item)
+        # The place that lies furthest above its thresholds.
+        mine = ((z - a + 1) / max(1, len(rare_item)), got, (z - a + 1) / inside)
+        if min(mine[0] / RARE_SHARE, mine[1] / SHARE) > min(best[0] / RARE_SHARE, best[1] / SHARE):
+            best = mine
+    phrase, runs = 0, {}
+    for p, w in doc:
+        for n in spots.get(w, ()):
+            runs[(p, n)] = length = runs.get((p - 1, n - 1), 0) + 1
+            phrase = max(phrase, length)
+    return (*best, phrase)
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [shares(list(item), set(rare), words(text)) for item, rare, text in zip(b["_words"], b["_rare"], b["_text"], strict=True)]
-        yield pd.DataFrame({"_doc": b["_doc"], "_item": b["_item"], "rare_share": [g[0] for g in got], "word_share": [g[1] for g in got], "closeness": [g[2] for g in got]})
+        got = [shares(list(item), list(rare), {m["_term"]: list(m["_places"]) for m in met}) for item, rare, met in zip(b["_words"], b["_rare"], b["_met"], strict=True)]
+        columns = {c: [g[k] for g in got] for k, c in enumerate(("rare_share", "word_share", "closeness", "phrase_words"))}
+        yield pd.DataFrame({"_doc": b["_doc"], "_item": b["_item"], **columns})
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, word_share, rare_share, closeness)`` of every document that holds a passage of an item.
+    """``(doc_id, item_id, word_share, rare_share, closeness, phrase_words)`` of every document that holds a passage of an item.
 
-    Corpus postings of all test words are stored once; document frequencies tell
-    each item's rarest words, for a widely leaked item those of a sample without leaked passages.  Their lists, shifted by the word's place in
-    the item, are intersected: candidates hold enough of them at one offset.  Candidates are
-    checked exactly by the longest common subsequences of rare words, then of all words
-    around the stretch these mark.
+    Corpus postings of all test words are stored once.  The lists of the rarest words of each
+    part of an item, shifted by the word's place in it, are intersected: candidates hold some
+    of a part's words at one offset.  The postings of all the item's words in a candidate then
+    tell exact phrases and the proximity match: the longest common subsequences of rare words,
+    then of all words around the stretch these mark.  No text is read again.
 
-    Null or empty texts hold and are nothing; repeated documents are found each;
-    an item shorter than three words is found only whole; empty tables give no rows;
-    extra columns are ignored.
+    Null or empty texts hold and are nothing; rows that repeat a doc_id are one document, other
+    repeated documents are found each; an item shorter than three words is found only whole;
+    empty tables give no rows; extra columns are ignored.
     """
     given = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_text")).filter("_item is not null and _text is not null")
-    spots = stored(given.mapInPandas(_item_rows, f"_item {dict(given.dtypes)['_item']}, _term string, _n int"), "leak-items")
-    vocabulary = spots.select("_term").distinct()
-    index = stored(positional_index(docs, vocabulary, doc_id, text), "leak-index")
+    given = given.dropDuplicates(["_item"])
+    spots = stored(given.mapInPandas(_item_rows, f"_item {dict(given.dtypes)['_item']}, _term string, _n int, _part int, _length int"), "leak-items")
+    index = stored(positional_index(docs, spots.select("_term").distinct(), doc_id, text), "leak-index")
     total = docs.filter(F.col(text).isNotNull()).count()
-    stock, one_in = max(20, int(total * STOCK)), max(1, total // SAMPLED)
-    seen = index.groupBy("_term").agg(F.count(F.lit(1)).alias("_all"))
-    alone = background(index, spots, one_in).withColumn("_docs", F.col("_docs") * one_in)
-    distinct = spots.groupBy("_item", "_term").agg(F.sort_array(F.collect_list("_n")).alias("_at")).join(seen, "_term", "left").join(alone, "_term", "left").fillna(0, ["_all", "_docs"])
-    distinct = distinct.join(spots.groupBy("_term").agg(F.count_distinct("_item").alias("_items")), "_term")
-    size = Window.partitionBy("_item")
-    ranked = distinct.withColumn("_r", F.row_number().over(size.orderBy("_all", "_term"))).withColumn("_most", F.ceil(F.count(F.lit(1)).over(size) * RAREST))
-    # Leaked widely: among the rarest third are words that are stock wording by the leaked copies only.
-    hot = F.max((F.col("_r") <= F.col("_most")) & (F.col("_all") - F.col("_docs") > stock) & (F.col("_docs") <= stock)).over(size)
-    # There the count without leaked passages tells, and words as rare as the third's last one stay:
-    # cut by spelling they would leave parts of the item without any.
-    ranked = ranked.withColumn("_hot", hot).withColumn("_r", F.when(F.col("_hot"), F.rank().over(size.orderBy("_docs", "_items"))).otherwise(F.col("_r")))
-    ranked = ranked.withColumn("_docs", F.when(F.col("_hot"), F.col("_docs")).otherwise(F.col("_all")))
-    # An item of stock words only keeps its three rarest.
-    kept = ranked.filter((F.col("_r") <= LEAST_RARE) | ((F.col("_r") <= F.col("_most")) & (F.col("_docs") <= stock)))
-    rare = stored(kept.withColumn("_of", F.count(F.lit(1)).over(size)).select("_item", "_term", "_at", "_of"), "leak-rare")
-    small = broadcast_if_small(rare, 1_000_000)
-    # Offsets in overlapping buckets, so that matches a little apart still meet in one of them.
-    met = index.join(small, "_term").select("_doc", "_item", "_term", "_of", F.explode("_places").alias("_p"), "_at")
-    met = met.select("_doc", "_item", "_term", "_of", "_p", F.explode("_at").alias("_n"))
-    met = met.withColumn("_b", F.floor((F.col("_p") - F.col("_n")) / WANDER))
-    met = met.select("_doc", "_item", "_term", "_of", F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"))
-    agreed = met.groupBy("_doc", "_item", "_b").agg(F.count_distinct("_term").alias("_hits"), F.first("_of").alias("_of"))
-    least = F.greatest(F.least(F.lit(LEAST_RARE), F.col("_of")), F.ceil(F.col("_of") * CANDIDATE_SHARE))
-    candidates = agreed.filter(F.col("_hits") >= least).select("_doc", "_item").distinct()
-    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    whole = spots.groupBy("_item").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_term"))), lambda x: x["_term"]).alias("_words"))
-    whole = broadcast_if_small(whole.join(rare.groupBy("_item").agg(F.collect_list("_term").alias("_rare")), "_item"))
-    pairs = candidates.join(texts, "_doc").join(whole, "_item")
-    kinds = dict(pairs.dtypes)
-    checked = pairs.mapInPandas(_verify, f"_doc {kinds['_doc']}, _item {kinds['_item']}, rare_share double, word_share double, closeness double")
+    seen = stored(index.groupBy("_term").agg(F.count(F.lit(1)).alias("_all")), "leak-terms")
+    # Small beside the index: as a stored table its size is known, so the optimiser broadcasts it only below its threshold.
+    pairs = stored(candidates(index, spots, seen), "leak-candidates")
+    terms = stored(spots.groupBy("_item", "_term").agg(F.count(F.lit(1)).alias("_times"), F.first("_length").alias("_length")), "leak-item-terms")
+    postings = index.join(pairs, "_doc").join(terms, ["_item", "_term"])
+    # Rows with one doc_id are one document: the first row's places of a word stand for it.
+    met = postings.groupBy("_doc", "_item").agg(
+        F.collect_list(F.struct("_term", "_places")).alias("_met"), (F.sum(F.least(F.size("_places"), "_times")) >= F.first("_length") * SHARE).alias("_strong")
+    )
+    held = stored(met, "leak-postings")
+    marked = rare_words(spots, seen, held, total)
+    whole = marked.groupBy("_item").agg(F.array_sort(F.collect_list(F.struct("_n", "_term", "_rare"))).alias("_w"))
+    whole = stored(whole.select("_item", F.col("_w._term").alias("_words"), F.col("_w._rare").alias("_rare")), "leak-words")
+    # Fewer shared words than SHARE, in any order, can't be a passage.
+    full = held.filter("_strong").join(whole, "_item")
+    kinds = dict(full.dtypes)
+    checked = full.select("_doc", "_item", "_met", "_words", "_rare").mapInPandas(
+        _verify, f"_doc {kinds['_doc']}, _item {kinds['_item']}, rare_share double, word_share double, closeness double, phrase_words int"
+    )
     found = checked.filter((F.col("word_share") >= SHARE) & (F.col("rare_share") >= RARE_SHARE) & (F.col("closeness") >= CLOSE))
-    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "word_share", "rare_share", "closeness")
-
+    return found.select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "word_share", "rare_share", "closeness", "phrase_words")

@@ -1,6 +1,8 @@
 import random
 
-from latchline.llm.leaks import leaked_items
+import pytest
+
+from latchline.llm.leaks import leaked_items, shares
 from latchline.llm.words import common_subsequence, normal, words
 
 RND = random.Random(4)
@@ -68,3 +70,48 @@ def test_partial_passages_of_a_widely_leaked_item_found(spark):
     rows += [(5000 + n, FILL * 4) for n in range(1200)]
     got = leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string, suite string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [200, 1500, 6000])
+def test_lone_parts_found_at_every_corpus_size(spark, size):
+    """Any third or more of an item that is nowhere whole, in one document or in 5 % of them."""
+    rows = [(n, FILL * 3) for n in range(size)]
+    want = set()
+    for k, (_, text, _) in enumerate(ITEMS[:8]):
+        w = text.split()
+        third = len(w) // 3 + 2
+        at = (k * len(w)) // 12  # another part of each item
+        part = " ".join(w[min(at, len(w) - third) :][:third])
+        for _ in range(1 if k % 2 else size // 20):
+            want.add((len(rows), k))
+            rows.append((len(rows), FILL + part + "\n" + FILL))
+    # Half of one item, two thirds of it elsewhere, its rest never.
+    w = ITEMS[9][1].split()
+    for part in (w[: len(w) // 2], w[len(w) // 3 :], w[5 : 5 + len(w) // 3 + 2]):
+        want.add((len(rows), 9))
+        rows.append((len(rows), " ".join(part)))
+    got = leaked_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string, suite string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.select("doc_id", "item_id").collect()} == want
+
+
+def test_a_stray_later_name_hides_nothing():
+    item = [f"n{k}" if k % 3 == 0 else "the" for k in range(72)]
+    doc = [*item[:24], *["line"] * 30, "n69"]
+    met = {}
+    for p, w in enumerate(doc):
+        met.setdefault(w, []).append(p)
+    rare_share, word_share, closeness, phrase = shares(item, [w != "the" for w in item], met)
+    assert rare_share == 8 / 24 and word_share >= 1 / 3 and closeness == 1 and phrase == 24
+
+
+def test_recall_against_all_pairs(spark):
+    """Every hundredth stored document against every item, word by word."""
+    root = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "eval_items"))
+    got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).filter("doc_id % 100 = 0 or doc_id % 100 = 50").collect()}
+    texts = {r["item_id"]: words(r["text"]) for r in items.collect()}
+    near = set()
+    for r in docs.filter("doc_id % 100 = 0 or doc_id % 100 = 50").collect():
+        d = words(r["text"])
+        near |= {(r["doc_id"], i) for i, w in texts.items() if common_subsequence(w, d) >= 0.55 * len(w)}
+    assert near and got >= near
