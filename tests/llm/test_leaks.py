@@ -105,13 +105,13 @@ def test_a_stray_later_name_hides_nothing():
 
 
 def test_recall_against_all_pairs(spark):
-    """Every hundredth stored document against every item, word by word."""
+    """Every tenth stored document against every item, word by word."""
     root = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "eval_items"))
-    got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).filter("doc_id % 100 = 0 or doc_id % 100 = 50").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, items).filter("doc_id % 10 = 0").collect()}
     texts = {r["item_id"]: words(r["text"]) for r in items.collect()}
     near = set()
-    for r in docs.filter("doc_id % 100 = 0 or doc_id % 100 = 50").collect():
+    for r in docs.filter("doc_id % 10 = 0").collect():
         d = words(r["text"])
         near |= {(r["doc_id"], i) for i, w in texts.items() if common_subsequence(w, d) >= 0.55 * len(w)}
     assert near and got >= near
