@@ -43,15 +43,17 @@ def with_neighbour(
     return out.drop("_near", "_mine", "_edge", "_over")
 
 
-def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], name: str) -> DataFrame:
-    """Number the rows of each group 1, 2, ... along ``order``."""
+def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """Number the rows of each group 1, 2, ... along ``order``; ``total`` names a column for the group's size."""
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     sizes = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if total:
+        sizes = sizes.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)).cast("long"))
     return (
         df.withColumn("_rn", F.row_number().over(inner))
-        .join(sizes, [*keys, chunk])
+        .join(sizes.drop("_n"), [*keys, chunk])
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("long"))
         .drop("_rn", "_before")
     )
