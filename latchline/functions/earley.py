@@ -8,10 +8,13 @@ columns nobody walked before.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-#: Added for every token a parse covers, so of two parses the one that explains more wins.
-PER_TOKEN = 1.0
+#: Added for every token a parse covers: more than the rules above one token can cost, so of two parses the one that explains more wins.
+PER_TOKEN = 100.0
+#: Terminal that stands for any token, and its cost.
+ANY, ANY_COST = "*", -3.0
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,8 @@ class _Column:
     items: dict[tuple[int, int, int], tuple[float, tuple]] = field(default_factory=dict)
     next: dict[str, _Column | None] = field(default_factory=dict)
     accepted: tuple[float, Tree] | None = None
+    #: What callers keep about the accepted parse.
+    notes: object = None
 
 
 class Grammar:
@@ -84,7 +89,7 @@ class Grammar:
                         work.append(((i, 0, col.depth), (self.rules[i].weight, ())))
 
     def _step(self, col: _Column, token: str) -> _Column | None:
-        allowed = {token: 0.0, **{t: math.log(w) for t, w in self.also.get(token, ())}}
+        allowed = {ANY: ANY_COST, token: 0.0, **{t: math.log(w) for t, w in self.also.get(token, ())}}
         seed = {}
         for (rule, dot, origin), (score, kids) in col.items.items():
             right = self.rules[rule].right
@@ -100,8 +105,11 @@ class Grammar:
         self.columns += 1
         return out
 
-    def best(self, classes: list[str]) -> tuple[float, Tree] | None:
-        """The highest-scoring parse of any beginning of ``classes``; its tree says how far it reaches."""
+    def parse(self, classes: Iterable[str]) -> tuple[_Column | None, int]:
+        """The column of the highest-scoring parse of any beginning of ``classes``, and how far any rule reached.
+
+        Tokens are taken one by one and no further than a rule can use them.
+        """
         if self.columns > self.keep:
             self.root = self._root()
         col, found = self.root, None
@@ -113,9 +121,14 @@ class Grammar:
             if nxt is None:
                 break
             col = nxt
-            if col.accepted and (found is None or col.accepted[0] > found[0]):
-                found = col.accepted
-        return found
+            if col.accepted and (found is None or col.accepted[0] > found.accepted[0]):
+                found = col
+        return found, col.depth
+
+    def best(self, classes: Iterable[str]) -> tuple[float, Tree] | None:
+        """Score and tree of the highest-scoring parse; the tree says how far it reaches."""
+        found, _ = self.parse(classes)
+        return found.accepted if found else None
 
 
 def spans(tree: Tree, roles: frozenset[str]) -> list[tuple[str, int, int]]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from datetime import datetime, timedelta
+from collections.abc import Iterator
+from datetime import datetime
 from functools import lru_cache
 
 from latchline.functions.earley import Grammar, spans
@@ -33,7 +34,7 @@ KEYS = {
 KEY_CLASS = {k: c for c, names in KEYS.items() for k in names}
 
 _TEXT = re.compile(
-    r"(?P<SP> +)|(?P<PRI><\d{1,3}>)|(?P<MARK>\#\#\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)"
+    r"(?P<SP> +)|(?P<TAB>\t)|(?P<PRI><\d{1,3}>)|(?P<MARK>\#\#\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)"
     r"|(?P<YMD>\d{4}[-/]\d\d[-/]\d\d(?!\d))|(?P<DMY>\d\d\.\d\d\.\d{4}(?!\d))|(?P<HMS>\d\d:\d\d:\d\d(?!\d))"
     r"|(?P<EPOCH>\d{10}(?=\.\d))|(?P<GLOG>[TVDIWEFC]\d{4}(?!\w))|(?P<FRAC>[.,]\d+)|(?P<ZONE>(?<=\d)[+-]\d\d:?\d\d(?!\d))"
     r"|(?P<TEE>T(?=\d\d:))|(?P<ZED>Z(?!\w))"
@@ -47,8 +48,23 @@ _PAIRS = re.compile(r'(?P<SP>\s+)|(?P<KEY>[@\w.-]+(?==))|(?P<EQ>=)|(?P<QUO>"(?:[
 
 LAYOUTS = Grammar(
     """
+    # A line opens an entry or continues one: indented, quoted, or with anything else
+    Line -> Entry : 0.9
+    Line -> Continuation : 0.1
+    Continuation -> Indent : 0.4
+    Continuation -> Quote : 0.3
+    Continuation -> Other : 0.3
+    Indent -> SP : 0.5
+    Indent -> TAB : 0.5
+    Quote -> > : 0.5
+    Quote -> | : 0.5
+    Other -> * : 1
+
     Entry -> Boot : 0.1
     Entry -> Bracketed : 0.1
+    Entry -> Threaded : 0.1
+    Entry -> Boxed : 0.1
+    Entry -> Named : 0.1
     Entry -> Dashed : 0.1
     Entry -> Tagged : 0.1
     Entry -> Workflow : 0.1
@@ -104,6 +120,12 @@ LAYOUTS = Grammar(
     # Layouts
     Boot -> Stamp SP Level SP INT SP DASHES SP Thread SP Component SP : : 1
     Bracketed -> Stamp SP Level SP Thread SP Component SP - : 1
+    Threaded -> Stamp SP Thread SP Level SP Component SP - : 1
+    Boxed -> [ Stamp ] SP Level SP Component : : 0.4
+    Boxed -> [ Stamp ] SP Level : : 0.2
+    Boxed -> [ Stamp ] SP Level SP : 0.3
+    Boxed -> [ Stamp ] SP : 0.1
+    Named -> Stamp SP Level SP Component : : 1
     Dashed -> Stamp SP - SP Component SP - SP Level SP - : 1
     Tagged -> TL Level SP TD Stamp SP TF Place SP TFN Component SP TT NAME SP TC NAME SP TR : 0.5
     Tagged -> TD Stamp SP TL Level SP TC NAME SP TF Place SP TFN Component SP TT NAME SP TR : 0.5
@@ -170,7 +192,7 @@ LAYOUTS = Grammar(
     Value -> QUO : 0.5
     Value -> BARE : 0.5
     """,
-    "Entry",
+    "Line",
     also={
         "LEVEL": (("NAME", 0.3),),
         "MON": (("NAME", 0.3),),
@@ -185,34 +207,29 @@ ROLES = frozenset("Stamp Iso European MonthDay Dated Seconds Compact Level Lette
 #: Escape sequences of terminals; they and control characters are never part of a value.
 _ESCAPES = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b.")
 _CONTROLS = re.compile(r"[\x00-\x08\x0a-\x1f\x7f-\x9f​-‏‪-‮⁠﻿]")
+_FIRST_PAIR = re.compile(r"[@\w.-]+=")
+_LEADING_MARK = re.compile(r"^(?:##\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)\s*")
 _UNESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.DOTALL)
 _ISO = re.compile(r"(\d{4})[-/](\d\d)[-/](\d\d)[T ]+(\d\d):(\d\d):(\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:?\d\d)?$")
-#: Tokens of a free-text header looked at; the longest layout has about forty.
-HEADER_TOKENS = 64
-
-
 def visible(raw: str) -> str:
     """``raw`` without escape sequences and control characters; tabs stay."""
-    return _CONTROLS.sub("", _ESCAPES.sub("", raw))
+    return raw if raw.isprintable() else _CONTROLS.sub("", _ESCAPES.sub("", raw))
 
 
-def _text_tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    kinds, places = [], []
+def _text_tokens(text: str, places: list[tuple[int, int]]) -> Iterator[str]:
+    """Token classes of free text, one by one as the parser asks for them; ``places`` grows along."""
     for m in _TEXT.finditer(text):
         kind = m.lastgroup
         if kind == "CHAR":
             kind = m[0]
         elif kind == "NAME" and m[0].lower() in LEVELS:
             kind = "LEVEL"
-        kinds.append(kind)
         places.append(m.span())
-        if len(kinds) >= HEADER_TOKENS:
-            break
-    return kinds, places
+        yield kind
 
 
-def _json_tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    kinds, places, found = [], [], [m for m in _JSON.finditer(text) if m.lastgroup != "WS"]
+def _json_tokens(text: str, places: list[tuple[int, int]]) -> list[str]:
+    kinds, found = [], [m for m in _JSON.finditer(text) if m.lastgroup != "WS"]
     for i, m in enumerate(found):
         kind = m.lastgroup
         if kind == "CHAR":
@@ -221,18 +238,18 @@ def _json_tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
             kind = KEY_CLASS.get(m[0][1:-1].lower(), "KEY")
         kinds.append(kind)
         places.append(m.span())
-    return kinds, places
+    return kinds
 
 
-def _pair_tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    kinds, places = [], []
+def _pair_tokens(text: str, places: list[tuple[int, int]]) -> list[str]:
+    kinds = []
     for m in _PAIRS.finditer(text):
         kind = m.lastgroup
         if kind == "KEY":
             kind = KEY_CLASS.get(m[0].lower(), "KEY") if not kinds or kinds[-1] == "SP" else "BARE"
         kinds.append(m[0] if kind == "CHAR" else kind)
         places.append(m.span())
-    return kinds, places
+    return kinds
 
 
 def plain_value(token: str) -> str:
@@ -309,28 +326,33 @@ def _time_us(role: str, text: str, year: int) -> int | None:
 def read_header(raw: str | None, year: int) -> tuple[int, str, str, str, str] | None:
     """``(entry_us, log_level, component, message, unparsed)`` if ``raw`` opens an entry, else None.
 
-    ``unparsed`` is what the best parse leaves over: for structured lines the text
-    after the last field; for others nothing, as the rest is the message.
+    Lines whose best parse is a continuation open none.  ``unparsed`` is what the best parse
+    leaves over though a rule began to explain it: for structured lines the text after the
+    last field, for others the part of the message that looked like further fields.
     """
     if not raw:
         return None
     text = visible(raw)
-    if not text or text[0] in " \t" or text[0].isspace():
-        return None
-    if text[0] == "{":
-        kinds, places = _json_tokens(text)
-    elif re.match(r"[@\w.-]+=", text):
-        kinds, places = _pair_tokens(text)
+    places: list[tuple[int, int]] = []
+    if text[:1] == "{":
+        layout, kinds = "fields", _json_tokens(text, places)
+    elif "=" in text and _FIRST_PAIR.match(text):
+        layout, kinds = "fields", _pair_tokens(text, places)
     else:
-        kinds, places = _text_tokens(text)
-    if (found := LAYOUTS.best(kinds)) is None:
+        layout, kinds = "text", _text_tokens(text, places)
+    found, reach = LAYOUTS.parse(kinds)
+    if found is None:
+        return None
+    if found.notes is None:
+        tree = found.accepted[1]
+        found.notes = () if tree[3][0][0] == "Continuation" else spans(tree, ROLES)
+    if not found.notes:
         return None
-    tree = found[1]
-    last = tree[2]
+    last = found.depth
     entry: int | None = None
     level = component = logger = ""
     message: str | None = None
-    for role, a, b in spans(tree, ROLES):
+    for role, a, b in found.notes:
         got = text[places[a][0] : places[b - 1][1]]
         if role == "Level":
             level = LEVELS[got.lower()]
@@ -361,17 +383,11 @@ def read_header(raw: str | None, year: int) -> tuple[int, str, str, str, str] |
     if entry is None:
         return None
     end = places[last - 1][1]
-    if kinds[0] == "{" or any(k == "EQ" for k in kinds[:2]):
+    if layout == "fields":
         if message is None and not level:
             return None
-        unparsed = text[end:].strip()
-        body = message or ""
+        unparsed, body = text[end:].strip(), message or ""
     else:
-        unparsed, body = "", text[end:]
-    body = _CONTROLS.sub("", _ESCAPES.sub("", body)).strip()
-    body = re.sub(r"^(?:##\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)\s*", "", body)
+        unparsed, body = text[end : places[reach - 1][1]].strip(), text[end:]
+    body = _LEADING_MARK.sub("", visible(body).strip())
     return entry, level, (component or logger).strip(), body, unparsed
-
-
-def shift_days(us: int, days: int) -> int:
-    return us + timedelta(days=days) // timedelta(microseconds=1)

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 from latchline.functions.earley import Grammar, spans
-from latchline.functions.loglines import read_header
+from latchline.functions.loglines import LAYOUTS, _text_tokens, read_header
 from latchline.operators.entries import log_entries
 
 LINES = {
@@ -40,6 +40,33 @@ def test_unparsed_rest_is_given():
     assert read_header('{"ts":"2024-01-01T00:00:00Z","msg":"a"} tail', 2024)[4] == "tail"
 
 
+def test_longer_headers_win():
+    for n in range(1, 61):
+        thread = " ".join(f"part{k}" for k in range(n))
+        got = read_header(f"2025-11-04 04:02:09.886  DEBUG [{thread}] c.e.TileCache - slot - 88", 2024)
+        assert got[1:4] == ("DEBUG", "c.e.TileCache", "slot - 88"), n
+    deep = "/".join(f"a:{k}" for k in range(40))
+    assert read_header(f"2025-09-08 13:49:07.068  INFO 927 --- [{deep}] c.A : m", 2024)[1:4] == ("INFO", "c.A", "m")
+    for line, want in {
+        "2025-11-04 04:02:09,886 [main] INFO com.x.Foo - hello": ("INFO", "com.x.Foo", "hello"),
+        "[2025-09-08 13:49:07] INFO foo: hello": ("INFO", "foo", "hello"),
+        "[2025-09-08 13:49:07] hello": ("", "", "hello"),
+        "2024-02-22T11:15:21+0530 WARN some.mod: hey": ("WARN", "some.mod", "hey"),
+    }.items():
+        assert read_header(line, 2024)[1:4] == want, line
+
+
+def test_continuations_are_parsed_as_such():
+    for line in ("\tat x", "  2025-11-04 04:02:09.886  DEBUG [w] c.A - m", "> 2025-11-04 04:02:09.886  DEBUG [w] c.A - m", "Caused by: x"):
+        found, _ = LAYOUTS.parse(_text_tokens(line, []))
+        assert found.accepted[1][3][0][0] == "Continuation"
+
+
+def test_unparsed_header_parts_of_text_are_given():
+    got = read_header("2025-11-04 04:02:09.886 DEBUG [worker-3 c.e.TileCache slot 88", 2024)
+    assert got[1] == "DEBUG" and got[4].startswith("[worker-3 c.e.TileCache") and got[3].startswith("[worker-3")
+
+
 def test_grammar_keeps_the_heaviest_parse():
     g = Grammar("S -> A : 0.3\nS -> B : 0.7\nA -> x : 1\nB -> x : 1", "S")
     score, tree = g.best(["x"])
@@ -60,3 +87,13 @@ def test_entries(spark):
         assert got[(1, 2)]["log_excerpt"].endswith("m1\n\tat x")
         assert got[(2, 1)]["entry_us"] == 1638316800_000_000
     assert log_entries(lines.limit(0), sessions).count() == 0
+
+
+def test_excerpts_by_characters_not_lines(spark):
+    head = "2024-05-01 10:00:00.001  INFO [w] c.A - " + "m" * 3000
+    rows = [(1, 1, 1, "2024-05-01 10:00:00.001  INFO [w] c.A - m")] + [(n, 1, n, "abcdefghi") for n in range(2, 400)] + [(400, 1, 400, head), (401, 1, 401, "rest")]
+    lines = spark.createDataFrame(rows, "line_id long, session_id long, line_no long, raw_line string")
+    sessions = spark.createDataFrame([(1, datetime(2024, 5, 2))], "id long, created_at timestamp_ntz")
+    got = {r["first_line_no"]: r for r in log_entries(lines, sessions, excerpts=True, chunk=64).collect()}
+    assert got[1]["log_excerpt"] == "\n".join(r[3] for r in rows[:399])[:2000] and got[1]["last_line_no"] == 399
+    assert got[400]["raw_line"] == head and got[400]["log_excerpt"] == head[:2000] and got[400]["last_line_no"] == 401
