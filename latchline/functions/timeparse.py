@@ -52,7 +52,13 @@ FORMS = (
     _form(rf"{_MON}\s+(?P<d>\d{{1,2}}),?\s+{_TIME}(?:\s+(?P<z0>[A-Za-z]{{2,5}}|[+-]\d{{2}}:?\d{{2}}))?\s+(?P<y>\d{{4}})"),
     _form(rf"{_MON}\s+(?P<d>\d{{1,2}}),?\s+{_TIME}(?P<Z>)"),
     _form(rf"(?P<d>\d{{1,2}})[\s/.-]+{_MON}\s+{_TIME}(?P<Z>)"),
+    _form(rf"(?P<y>\d{{4}})-?W(?P<week>\d{{2}})-?(?P<wd>[1-7])(?:[Tt]|\s+){_TIME}(?P<Z>)"),
+    _form(rf"(?P<y>\d{{4}})-(?P<yd>\d{{3}})(?:[Tt]|\s+){_TIME}(?P<Z>)"),
+    _form(rf"(?P<a>\d{{1,2}})(?P<sep>[-/.])(?P<b>\d{{1,2}})(?P=sep)(?P<yy>\d{{2}}),?(?:[Tt]|\s+){_TIME}(?P<Z>)"),
 )
+#: Two-digit years are of this century.
+CENTURY = 2000
+_BLANKS = re.compile(r"\s+")
 FIGURES = re.compile(r"^(\d{9,19})(?:[.,](\d+))?$")
 COMPACT = re.compile(r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(\d{3}|\d{6})?$")
 #: Blanks, quotes and brackets around a value.
@@ -137,8 +143,8 @@ def candidates(raw: str | None, host: str | None, year: int | None) -> list[Cand
     """All readings of ``raw`` written in zone ``host``; ``year`` is about when it was written."""
     if raw is None:
         return []
-    text = raw.strip(OUTER).strip()
-    if not text or len(text) > 80 or not any(c.isdigit() for c in text):
+    text = _BLANKS.sub(" ", raw.strip(OUTER))
+    if not any(c.isdigit() for c in text):
         return []
     if m := FIGURES.match(text):
         return _figures(m, host)
@@ -149,6 +155,14 @@ def candidates(raw: str | None, host: str | None, year: int | None) -> list[Cand
         zone = g.get("z") or g.get("z0")
         if g.get("mon"):
             days = [(y, MONTHS[g["mon"].lower()[:3]], int(g["d"])) for y in ([int(g["y"])] if g.get("y") else _years(year))]
+        elif g.get("week"):
+            days = _week_day(int(g["y"]), int(g["week"]), int(g["wd"]))
+        elif g.get("yd"):
+            days = _year_day(int(g["y"]), int(g["yd"]))
+        elif g.get("yy"):
+            a, b, c = int(g["a"]), int(g["b"]), int(g["yy"])
+            first = [(CENTURY + c, b, a), (CENTURY + c, a, b)] if g["sep"] == "." else [(CENTURY + c, a, b), (CENTURY + c, b, a)]
+            days = list(dict.fromkeys([*first, (CENTURY + a, b, c)]))
         elif g.get("a"):
             a, b, y = int(g["a"]), int(g["b"]), int(g["y"])
             days = [(y, b, a)] if g["sep"] == "." else list(dict.fromkeys([(y, a, b), (y, b, a)]))
@@ -170,6 +184,21 @@ def candidates(raw: str | None, host: str | None, year: int | None) -> list[Cand
     return []
 
 
+def _week_day(year: int, week: int, day: int) -> list[tuple[int, int, int]]:
+    try:
+        at = date.fromisocalendar(year, week, day)
+    except ValueError:
+        return []
+    return [(at.year, at.month, at.day)]
+
+
+def _year_day(year: int, day: int) -> list[tuple[int, int, int]]:
+    if not 1 <= year or not 1 <= day <= 366:
+        return []
+    at = date(year, 1, 1) + timedelta(days=day - 1)
+    return [(at.year, at.month, at.day)] if at.year == year else []
+
+
 def _years(year: int | None) -> list[int]:
     return [year - 1, year, year + 1] if year else []
 
@@ -192,11 +221,3 @@ def _figures(m: re.Match[str], host: str | None) -> list[Candidate]:
 def utc_text(us: int) -> str:
     """ISO text of an instant, for messages and tests."""
     return (datetime(1970, 1, 1, tzinfo=timezone.utc) + us * US).isoformat()
-
-
-def is_date(y: int, m: int, d: int) -> bool:
-    try:
-        date(y, m, d)
-    except ValueError:
-        return False
-    return True

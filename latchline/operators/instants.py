@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latchline.functions import timeparse
 from latchline.functions.timeparse import candidates
-from latchline.operators.ordered import CHUNK, with_neighbour, with_running
-from latchline.session import shared_path, stored
-from latchline.tables import micros
+from latchline.operators.ordered import CHUNK, with_last, with_neighbour
+from latchline.session import folder_exists, shared_dir, stored
+from latchline.tables import broadcast_if_small, micros
 
 DAY_US = 86_400_000_000
 READING = "array<struct<first_us:bigint,second_us:bigint>>"
@@ -26,26 +30,32 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_raw": b["_raw"], "_zone": b["_zone"], "_year": b["_year"], "_readings": read})
 
 
+def dictionary_path(spark: SparkSession) -> str:
+    """Where the dictionary is kept from run to run: below the setting ``latchline.dictionary.dir``, else the shared folder.
+
+    What the parser reads may change with its code, so each version of it has its own.
+    """
+    version = hashlib.sha256(inspect.getsource(timeparse).encode()).hexdigest()[:16]
+    return f"{(spark.conf.get('latchline.dictionary.dir', None) or shared_dir(spark)).rstrip('/')}/latchline-instants-{version}"
+
+
 def reading_dictionary(values: DataFrame, path: str) -> DataFrame:
-    """The dictionary of all distinct ``(_raw, _zone, _year)`` and their readings.
+    """The dictionary of all distinct ``(_raw, _zone, _year)`` and their readings, unreadable ones with none.
 
-    Only keys that the dictionary below ``path`` lacks are parsed, and they are
-    appended to it, so each notation is read once over all runs that share ``path``.
+    Only keys that the dictionary below ``path`` lacks are parsed, and they are added
+    to it, so each notation is read once over all runs that share ``path``.  Every run
+    adds a folder of its own; keys that two runs added at once count once.
     """
     spark = values.sparkSession
     keys = values.select("_raw", "_zone", "_year").distinct()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    shape = f"_raw string, _zone string, _year int, _readings {READING}"
+    known = lambda: spark.read.schema(f"{shape}, run string").parquet(path).drop("run")
     fresh = keys
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        known = spark.read.parquet(path)
-        fresh = keys.join(known, [keys[c].eqNullSafe(known[c]) for c in keys.columns], "left_anti")
-    (
-        fresh.mapInPandas(_parse, f"_raw string, _zone string, _year int, _readings {READING}")
-        .filter("size(_readings) > 0")
-        .write.mode("append")
-        .parquet(path)
-    )
-    return spark.read.parquet(path)
+    if folder_exists(spark, path):
+        k = known().select(*[F.col(c).alias(f"{c}_k") for c in keys.columns])
+        fresh = keys.join(k, [keys[c].eqNullSafe(k[f"{c}_k"]) for c in keys.columns], "left_anti")
+    fresh.mapInPandas(_parse, shape).write.mode("overwrite").parquet(f"{path}/run={uuid.uuid4().hex}")
+    return known().groupBy("_raw", "_zone", "_year").agg(F.first("_readings").alias("_readings"))
 
 
 def normalise_instants(
@@ -62,8 +72,8 @@ def normalise_instants(
     """One UTC instant per readable value: ``(row_id, started_us)``.
 
     Distinct raw strings with zone and year of the session go through a dictionary that is parsed
-    exhaustively once and kept below ``dictionary`` (a fresh folder in the shared
-    folder by default).  A missing year or an unclear day and month is settled by the
+    exhaustively once and kept below ``dictionary`` from run to run (``dictionary_path`` by
+    default).  A missing year or an unclear day and month is settled by the
     24 hours before ``created``; a wall time that occurred twice is the earliest
     reading not before the preceding readable call of the session.
 
@@ -82,9 +92,9 @@ def normalise_instants(
         micros(F.col(created)).alias("_made"),
         F.year(F.col(created)).cast("int").alias("_year"),
     ).filter(F.col("_raw").isNotNull() & (F.trim("_raw") != ""))
-    words = reading_dictionary(rows, dictionary or shared_path(spark, "instants"))
+    words = reading_dictionary(rows, dictionary or dictionary_path(spark))
     joined = rows.join(
-        words.select("_raw", "_zone", F.col("_year").alias("_y"), "_readings"),
+        words.filter("size(_readings) > 0").select("_raw", "_zone", F.col("_year").alias("_y"), "_readings"),
         (rows["_raw"] == words["_raw"]) & (rows["_zone"] == words["_zone"]) & rows["_year"].eqNullSafe(F.col("_y")),
     ).select("_id", "_session", "_seq", "_made", "_readings")
     # Distance of a reading from the 24 hours before the session was made; 0 inside.
@@ -121,20 +131,15 @@ def _settle_repeats(placed: DataFrame, chunk: int) -> DataFrame:
     they lie after every first one.  A call with one instant ends the stretch.
     """
     # Sessions without any twice-occurring value need no order.
-    doubtful = placed.filter("_two is not null").select("_session").distinct()
+    doubtful = broadcast_if_small(placed.filter("_two is not null").select("_session").distinct())
     calls = placed.join(doubtful, "_session", "left_semi").groupBy("_session", "_seq").agg(F.min_by(F.struct("_one", "_two"), "_id").alias("_c"))
     calls = calls.select("_session", "_seq", "_c.*", F.floor(F.col("_seq") / chunk).alias("_chunk"))
     order = (["_session"], "_chunk", ["_seq"])
-    near = with_neighbour(calls, *order, {"_prev": "_one", "_prev_two": "_two"})
-    run = with_running(near, *order, F.col("_two").isNull().cast("long"), "_stretch")
-    falls = (F.col("_two").isNotNull() & (F.col("_one") < F.col("_prev"))).cast("long")
-    # A stretch is numbered by the single-instant calls before it, so its falls are a difference of running sums.
-    run = with_running(run, *order, falls, "_falls")
-    base = run.filter("_two is null").select("_session", "_stretch", F.col("_falls").alias("_base"))
-    run = run.join(base, ["_session", "_stretch"], "left")
-    late = F.col("_two").isNotNull() & (F.col("_falls") > F.coalesce(F.col("_base"), F.lit(0)))
-    chosen = run.filter(late).select("_session", "_seq", F.lit(True).alias("_late"))
+    near = with_neighbour(calls, *order, {"_prev": "_one"})
+    # A call with one instant ends a stretch, a fall turns to the second instants, other calls change nothing.
+    turn = F.when(F.col("_two").isNull(), 0).when(F.col("_one") < F.col("_prev"), 1)
+    late = with_last(near, *order, turn, "_late").filter("_two is not null and _late = 1").select("_session", "_seq", F.lit(True).alias("_late"))
     # A repeated delivery takes the same choice; where its text differs its own instants count.
-    return placed.join(chosen, ["_session", "_seq"], "left").select(
+    return placed.join(broadcast_if_small(stored(late, "instants-late")), ["_session", "_seq"], "left").select(
         "_id", F.when(F.coalesce("_late", F.lit(False)) & F.col("_two").isNotNull(), F.col("_two")).otherwise(F.col("_one")).alias("_us")
     )

@@ -72,3 +72,20 @@ def with_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], v
         .withColumn(name, F.coalesce(F.col("_rs"), F.lit(0)) + F.col("_before"))
         .drop("_v", "_rs", "_before")
     )
+
+
+def with_last(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """The last non-null ``value`` along ``order``, this row included."""
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    valued = df.withColumn("_v", value)
+    ends = valued.filter("_v is not null").groupBy(*keys, chunk).agg(F.max_by("_v", F.struct(*order)).alias("_end"))
+    # Chunks without a value of their own pass on what came before.
+    ends = valued.select(*keys, chunk).distinct().join(ends, [*keys, chunk], "left")
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end").filter("_before is not null")
+    return (
+        valued.withColumn("_l", F.last("_v", ignorenulls=True).over(inner))
+        .join(ends, [*keys, chunk], "left")
+        .withColumn(name, F.coalesce("_l", "_before"))
+        .drop("_v", "_l", "_before")
+    )

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+from latchline.operators import instants
 from latchline.functions.timeparse import candidates, utc_text, wall_instants
 from latchline.operators.instants import normalise_instants
 
@@ -59,9 +60,32 @@ def test_session_order_settles_repeated_hours(spark):
     assert run(spark, []) == {}
 
 
-def test_dictionary_grows_by_unknown_keys_only(spark, tmp_path):
+def test_dictionary_grows_by_unknown_keys_only(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "words")
-    first = [(1, 1, 1, "2024-10-27 05:00:00", "UTC", MADE)]
+    first = [(1, 1, 1, "2024-10-27 05:00:00", "UTC", MADE), (2, 1, 2, "junk 1", "UTC", MADE)]
     run(spark, first, dictionary=path)
-    run(spark, [*first, (2, 1, 2, "2024-10-27 06:00:00", "UTC", MADE)], dictionary=path)
-    assert spark.read.parquet(path).count() == 2
+    run(spark, [*first, (3, 1, 3, "2024-10-27 06:00:00", "UTC", MADE)], dictionary=path)
+    kept = spark.read.parquet(path)
+    assert kept.count() == 3 and kept.filter("size(_readings) = 0").count() == 1
+    # All is known now: a parser that fails is never called.
+    monkeypatch.setattr(instants, "_parse", refuse)
+    want = run(spark, [*first, (3, 1, 3, "2024-10-27 06:00:00", "UTC", MADE)], dictionary=path)
+    assert want == {1: "2024-10-27T05:00:00", 3: "2024-10-27T06:00:00"}
+    # Keys that two runs added at once count once.
+    kept.drop("run").write.parquet(f"{path}/run=again")
+    assert run(spark, first, dictionary=path) == {1: "2024-10-27T05:00:00"}
+
+
+def refuse(batches):
+    for b in batches:
+        assert not len(b)
+        yield from ()
+
+
+def test_further_notations():
+    want = "2024-03-05T06:07:08+00:00"
+    for raw in ("2024-W10-2T06:07:08Z", "2024-065T06:07:08Z", "05.03.24 06:07:08", "Tue" + " " * 5000 + "2024-03-05" + " " * 5000 + "06:07:08"):
+        assert utc_text(candidates(raw, "UTC", 2024)[0][0]) == want, raw
+    assert utc_text(candidates("24-03-05 06:07:08", "UTC", 2024)[-1][0]) == want
+    for raw in ("2024-W54-1T00:00:00", "2023-366T00:00:00", "13/13/24 00:00:00x", "1" * 100_000):
+        assert candidates(raw, "UTC", 2024) == []
