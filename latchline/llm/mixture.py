@@ -7,7 +7,8 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latchline.session import spread, stored
@@ -19,8 +20,6 @@ VOCABULARY = os.environ.get("LATCHLINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Bits of the hash that make a bucket, at each of the two levels.
 BITS = 12
-#: Texts are tokenised in pieces of at most about so many characters, cut at line ends, then blanks.
-PIECE = 1 << 16
 _encoders: dict[str, object] = {}
 
 
@@ -35,22 +34,22 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind("\n", at, at + PIECE) + 1 or text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary along with the job and returns its name there, so workers need no file of their own."""
+    if (sent := getattr(spark.sparkContext, "_latchline_files", None)) is None:
+        sent = spark.sparkContext._latchline_files = set()
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
 
 
-def token_counts(path: str):
+def token_counts(name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             out = b.drop(columns="_text")
-            out["_tokens"] = [sum(len(enc.encode_ordinary(p)) for p in _pieces(t)) if t else 0 for t in b["_text"]]
+            out["_tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in b["_text"]]
             yield out
 
     return run
@@ -60,7 +59,7 @@ def with_tokens(docs: DataFrame, row_id: str, source: str, text: str, vocabulary
     """``_id, _source, _tokens``: sizes of whole texts; a null or empty text has none."""
     rows = docs.select(F.col(row_id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     kinds = dict(rows.dtypes)
-    return spread(rows).mapInPandas(token_counts(vocabulary), f"_id {kinds['_id']}, _source {kinds['_source']}, _tokens bigint")
+    return spread(rows).mapInPandas(token_counts(shipped(docs.sparkSession, vocabulary)), f"_id {kinds['_id']}, _source {kinds['_source']}, _tokens bigint")
 
 
 def _threshold(counts: DataFrame, wanted: DataFrame, by: Column) -> DataFrame:
@@ -93,6 +92,7 @@ def mixture(
     it has; the shares really reached are reported.
 
     ``chosen``: ``doc_id, source, copies, tokens``; ``shares``: one row per target.
+    Rows with one id are rows each, and each is chosen or not for itself.
     Documents of no targeted source (null too) are left out; empty texts have size 0
     and go with their hash; repeated texts count like others; an empty corpus gives
     shares of null; a null share or cap counts as 0.
@@ -121,18 +121,15 @@ def mixture(
     # Inside the boundary bucket of the boundary bucket a running sum decides, document by document.
     last = edge.join(two.select("_source", F.col("_bucket").alias("_b2"), "_wanted"), "_source").filter(second == F.col("_b2"))
     run = Window.partitionBy("_source").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = last.withColumn("_upto", F.sum("_tokens").over(run)).filter("_upto <= _wanted").select("_id", F.lit(True).alias("_tail"))
-    marked = (
-        sized.join(broadcast_if_small(plan.select("_source", "_whole", "_rest")), "_source")
-        .join(one.select("_source", F.col("_bucket").alias("_b1")), "_source", "left")
-        .join(two.select("_source", F.col("_bucket").alias("_b2")), "_source", "left")
-        .join(tail, "_id", "left")
-    )
-    # No crossing in either histogram: the rest takes all there is, up to the source's end.
-    below = F.when(F.col("_rest") <= 0, F.lit(False)).when(F.col("_b1").isNull(), F.lit(True)).otherwise(
-        (first < F.col("_b1")) | ((first == F.col("_b1")) & (F.col("_b2").isNull() | (second < F.col("_b2")))) | F.coalesce("_tail", F.lit(False))
-    )
-    chosen = marked.withColumn("copies", (F.col("_whole") + below.cast("long")).cast("long")).filter("copies > 0")
+    tail = last.withColumn("_upto", F.sum("_tokens").over(run)).select("_id", "_source", "_tokens", (F.col("_upto") <= F.col("_wanted")).alias("_below"))
+    # All other documents are decided by their bucket alone; no row is looked up by its id.
+    marked = sized.join(one.select("_source", F.col("_bucket").alias("_b1")), "_source", "left").join(two.select("_source", F.col("_bucket").alias("_b2")), "_source", "left")
+    marked = marked.filter(~F.coalesce((first == F.col("_b1")) & (second == F.col("_b2")), F.lit(False)))
+    # No crossing in a histogram: the rest takes all there is.
+    under = F.col("_b1").isNull() | (first < F.col("_b1")) | ((first == F.col("_b1")) & (F.col("_b2").isNull() | (second < F.col("_b2"))))
+    decided = marked.select("_id", "_source", "_tokens", under.alias("_below")).unionByName(tail)
+    decided = decided.join(broadcast_if_small(plan.select("_source", "_whole", "_rest")), "_source")
+    chosen = decided.withColumn("copies", (F.col("_whole") + ((F.col("_rest") > 0) & F.col("_below")).cast("long")).cast("long")).filter("copies > 0")
     chosen = chosen.select(F.col("_id").alias(row_id), F.col("_source").alias(source), "copies", F.col("_tokens").alias("tokens"))
     used = chosen.groupBy(F.col(source).alias("_source")).agg(F.sum(F.col("copies") * F.col("tokens")).alias("_used"), F.max("copies").alias("_most"))
     whole = F.sum("tokens_used").over(Window.partitionBy())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def rank_error(k: int = K) -> float:
     return min(1.0, 4 * 0.084 * 12 / k)
 
 
+_WORD = (1 << 64) - 1
+#: Layout of a stored sketch: section size, values, seed, least and greatest value, levels.
+_HEAD = "<iqQddi"
+
+
+def _mixed(x: int) -> int:
+    """A 64-bit integer with all its bits stirred (the finaliser of a public generator)."""
+    x = (x + 0x9E3779B97F4A7C15) & _WORD
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _WORD
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _WORD
+    return x ^ x >> 31
+
+
 class Compactor:
     """One level: a sorted-on-demand buffer whose upper tail is protected."""
 
@@ -43,12 +58,13 @@ class RelativeSketch:
     """Levels of relative compactors; an item of level h stands for 2**h values.
 
     The largest values are never compacted away, so high percentiles are the most
-    accurate.  Coins come from the state of the level, so equal inputs in equal order
-    give equal sketches and a repeated task repeats its result.
+    accurate.  Coins come from the sketch's seed and the state of the level: sketches of
+    different parts toss different coins, so that their errors cancel when they are merged,
+    and a repeated task repeats its result.
     """
 
-    def __init__(self, k: int = K):
-        self.k, self.n = k, 0
+    def __init__(self, k: int = K, seed: int = 0):
+        self.k, self.n, self.seed = k, 0, seed & _WORD
         self.low, self.high = np.inf, -np.inf
         self.levels = [Compactor(k)]
 
@@ -66,6 +82,7 @@ class RelativeSketch:
 
     def merge(self, other: RelativeSketch) -> None:
         self.n += other.n
+        self.seed = _mixed(self.seed ^ other.seed)
         self.low, self.high = min(self.low, other.low), max(self.high, other.high)
         while len(self.levels) < len(other.levels):
             self.levels.append(Compactor(self.k))
@@ -98,7 +115,7 @@ class RelativeSketch:
         part = len(lv.items) - keep
         part -= part & 1
         low, lv.items = lv.items[:part], lv.items[part:]
-        coin = ((lv.state * 0x9E3779B97F4A7C15 + h * 0xBF58476D1CE4E5B9) >> 17) & 1
+        coin = _mixed(self.seed ^ _mixed(lv.state * 64 + h)) & 1
         lv.state += 1
         if lv.state >= 1 << (lv.sections - 1) and lv.size >= 8:
             lv.sections, lv.size = lv.sections * 2, max(4, int(lv.size / 2**0.5) & ~1)
@@ -122,7 +139,7 @@ class RelativeSketch:
         return [min(max(x, self.low), self.high) for x in out]
 
     def dump(self) -> bytes:
-        out = [struct.pack("<iqddi", self.k, self.n, self.low, self.high, len(self.levels))]
+        out = [struct.pack(_HEAD, self.k, self.n, self.seed, self.low, self.high, len(self.levels))]
         for lv in self.levels:
             out.append(struct.pack("<iiqi", lv.size, lv.sections, lv.state, len(lv.items)))
             out.append(np.asarray(lv.items, dtype="<f8").tobytes())
@@ -130,8 +147,8 @@ class RelativeSketch:
 
     @classmethod
     def load(cls, data: bytes) -> RelativeSketch:
-        k, n, low, high, count = struct.unpack_from("<iqddi", data)
-        out, at = cls(k), struct.calcsize("<iqddi")
+        k, n, seed, low, high, count = struct.unpack_from(_HEAD, data)
+        out, at = cls(k, seed), struct.calcsize(_HEAD)
         out.n, out.low, out.high, out.levels = n, low, high, []
         for _ in range(count):
             size, sections, state, length = struct.unpack_from("<iiqi", data, at)
@@ -144,6 +161,8 @@ class RelativeSketch:
 def _partial(keys: list[str], k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, RelativeSketch] = {}
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
 
         def out() -> pd.DataFrame:
             frame = pd.DataFrame(list(held), columns=keys)
@@ -162,7 +181,7 @@ def _partial(keys: list[str], k: int):
             for head, part in zip(heads, np.split(values, starts[1:]), strict=True):
                 key = tuple(None if pd.isna(x) else x for x in head)
                 if (sketch := held.get(key)) is None:
-                    sketch = held[key] = RelativeSketch(k)
+                    sketch = held[key] = RelativeSketch(k, zlib.crc32(repr((part, key)).encode()))
                 sketch.add(part)
             if len(held) >= HELD:
                 yield out()

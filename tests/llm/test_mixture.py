@@ -54,8 +54,17 @@ def test_empty_corpus(spark):
     assert [(r["tokens_used"], r["actual_share"]) for r in shares.collect()] == [(0, None)]
 
 
-def test_long_texts_are_counted_in_pieces():
-    text = "one two three four\n" * 20_000
-    enc = mx.encoder(mx.VOCABULARY)
-    assert abs(sum(len(enc.encode_ordinary(p)) for p in mx._pieces(text)) - len(enc.encode_ordinary(text))) <= len(text) // mx.PIECE + 1
-    assert "".join(mx._pieces("x" * 200_000)) == "x" * 200_000
+def test_rows_with_one_id_are_rows_each(spark):
+    d = docs(spark, [("a", 300, 9), ("b", 300, 3)])
+    t = spark.createDataFrame([("a", 0.5, 1, "x"), ("b", 0.5, 1, "x")], TARGETS)
+    chosen, shares = mixture(d.union(d), t, "doc_id", "source", "text", total_tokens=1000)
+    used = {r["source"]: r for r in shares.collect()}
+    assert all(490 <= used[s]["tokens_used"] <= 500 for s in "ab")
+    assert sum(r["tokens"] * r["copies"] for r in chosen.collect()) == sum(r["tokens_used"] for r in used.values())
+
+
+def test_whole_texts_are_counted(spark):
+    text = "one two three four\n" * 20_000 + "x" * 100_000
+    d = spark.createDataFrame([(1, "a", text)], "doc_id long, source string, text string")
+    (row,) = mx.with_tokens(d, "doc_id", "source", "text").collect()
+    assert row["_tokens"] == len(mx.encoder(mx.VOCABULARY).encode_ordinary(text))

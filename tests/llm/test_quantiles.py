@@ -30,6 +30,20 @@ def test_error_bound_after_merging(kind):
         assert off(v, q, got) <= rank_error() * (1 - q) * n + 1
 
 
+def test_errors_of_parts_cancel():
+    """Parts with equal ranks toss different coins: the error of 400 merged parts is far below the bound of one."""
+    rng = np.random.default_rng(17)
+    v = rng.permutation(400 * 2000).astype(float)
+    whole = RelativeSketch(seed=1)
+    for i, x in enumerate(np.split(v, 400)):
+        s = RelativeSketch(seed=i)
+        s.add(x)
+        whole.merge(s)
+    for q, got in zip(QS.values(), whole.quantiles(list(QS.values())), strict=True):
+        assert off(v, q, got) <= 0.01 * (1 - q) * len(v) + 1
+    assert len({RelativeSketch(seed=i).seed for i in range(9)}) == 9
+
+
 def test_small_sets_are_exact_and_weights_hold():
     s = RelativeSketch()
     s.add(np.array([5.0, np.nan, 1.0, 3.0]))

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+from latchline.llm import topn
 from latchline.llm.runs import event_runs, known_functions
 from latchline.llm.topn import top_per_group
 
@@ -65,5 +66,19 @@ def test_top_ties_nulls_deliveries(spark):
     assert got.columns == ["g", "rank_no", "item_id"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert top_per_group(df.limit(0), ["g"], "score", "id", 3).count() == 0
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert sorted(map(tuple, top_per_group(df.dropDuplicates(["id"]), ["g"], "score", "id", 1).filter("g = 2").collect())) == [(2, 1, min(r[0] for r in rows if r[0] and r[1] == 2 and r[2] == 4))]
+
+
+def test_group_limit_before_the_only_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 3 g0", "id % 7 score", "id item_id")
+    plan = topn._ranked(rows, "g0", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_groups_of_many_repeats_and_equal_scores(spark):
+    """More repeats than the spare rows hold, and a group of one score: both exact."""
+    rows = [(i, "repeats", 9, 1) for i in range(50)] + [(50 + i, "repeats", 8 - i, 2 + i) for i in range(5)]
+    rows += [(1000 + i, "equal", 5, i % 400) for i in range(800)] + [(5000, None, 1, None), (5001, None, 1, None), (5002, "short", 2, 1), (5003, "short", 2, 1)]
+    df = spark.createDataFrame(rows, "id long, g string, score long, item long").repartition(4)
+    got = {(r["g"], r["rank_no"]): r["item_id"] for r in top_per_group(df, ["g"], "score", "id", 3, "item").collect()}
+    assert got == {("repeats", 1): 0, ("repeats", 2): 50, ("repeats", 3): 51, ("equal", 1): 1000, ("equal", 2): 1001, ("equal", 3): 1002, (None, 1): 5000, (None, 2): 5001, ("short", 1): 5002}
