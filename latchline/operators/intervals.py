@@ -37,14 +37,17 @@ def periods_and_gaps(
         F.col(entity).alias("_e"), micros(F.col(started)).alias("_s"), micros(F.col(ended)).alias("_t")
     ).filter("_e is not null and _s is not null and _t is not null and _t > _s")
 
-    def ranked(value: str) -> DataFrame:
-        one = rows.select("_e", F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_v") / bucket_us))
-        return with_position(one, ["_e"], "_b", ["_v"], "_k").select("_e", "_k", "_v")
-
-    starts = ranked("_s").select("_e", (F.col("_k") - 1).alias("_k"), F.col("_v").alias("_next"))
-    ends = ranked("_t").select("_e", "_k", F.col("_v").alias("_end"))
+    # One row a boundary: starts and ends are two orders of the same table, read once.
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("_kind"), F.col("_s").alias("_v")), F.struct(F.lit(1).alias("_kind"), F.col("_t").alias("_v"))))
+    bounds = rows.select("_e", ends.alias("_x")).select("_e", "_x.*").withColumn("_b", F.floor(F.col("_v") / bucket_us))
+    ranked = with_position(bounds, ["_e", "_kind"], "_b", ["_v"], "_k")
+    start = F.col("_kind") == 0
+    # The n-th end meets the start after the n-th.
+    borders = ranked.groupBy("_e", (F.col("_k") - (F.lit(1) - F.col("_kind"))).alias("_k")).agg(
+        F.max(F.when(start, F.col("_v"))).alias("_next"), F.max(F.when(~start, F.col("_v"))).alias("_end")
+    )
     # k = 0 holds the first start only, k = n the last end only.
-    borders = starts.join(ends, ["_e", "_k"], "full").filter("_next is null or _end is null or _next > _end")
+    borders = borders.filter("_next is null or _end is null or _next > _end")
     borders = borders.withColumn("_c", F.floor(F.col("_k") / rank_chunk))
     paired = with_neighbour(borders, ["_e"], "_c", ["_k"], {"_from": "_next"})
     span = lambda kind, a, b: F.struct(F.lit(kind).alias("span_kind"), F.col(a).alias("from_us"), F.col(b).alias("to_us"))

@@ -59,6 +59,25 @@ def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     )
 
 
+def placed_with_neighbour(
+    df: DataFrame, keys: list[str], chunk: str, order: list[str], fields: dict[str, str], name: str
+) -> DataFrame:
+    """``with_neighbour`` (the row before) and ``with_position`` in one pass: one sort, one row a chunk carried on."""
+    src = list(dict.fromkeys(fields.values()))
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+    packed = F.struct(*[F.col(c) for c in src])
+    ranked = df.withColumn("_near", F.lag(packed).over(inner)).withColumn("_rn", F.row_number().over(inner))
+    ends = df.groupBy(*keys, chunk).agg(F.max_by(packed, F.struct(*order)).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(chunk)
+    ends = ends.withColumn("_over", F.lag("_end").over(before))
+    ends = ends.withColumn("_before", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
+    out = ranked.join(ends.filter("_over is not null").drop("_end", "_n"), [*keys, chunk], "left")
+    out = out.withColumn(name, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long"))
+    for new, c in fields.items():
+        out = out.withColumn(new, F.coalesce(F.col("_near"), F.col("_over"))[c])
+    return out.drop("_near", "_over", "_rn", "_before")
+
+
 def with_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Running sum of ``value`` along ``order``, this row included."""
     inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
