@@ -297,6 +297,13 @@ class LanguageModel:
             out.append(found)
         return out
 
+    def certainty(self, words: list[str], code: str) -> float:
+        """How sure a stretch is of its language: its share of the likelihoods; a script of one language is certain."""
+        if code not in _LATIN_AT:
+            return 1.0
+        total = np.sum([self.score(w) for w in words], axis=0)
+        return round(float(1 / np.exp(total - total[_LATIN_AT[code]]).sum()), 4)
+
     def spans(self, lines: list[list[str]]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Per line: language, confidence and spans (first word, end, language).
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latchline.llm.langid import LANGUAGES, LanguageModel, is_prose, label_language, natural_words
-from latchline.session import spread
+from latchline.session import spread, stored
+from latchline.tables import broadcast_if_small
 
 #: Labelled documents the classifier is fitted on, at most, and characters of each; everything is classified whole.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 4000
@@ -18,17 +19,23 @@ TRAIN_ROWS, TRAIN_CHARS = 4000, 4000
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel:
     """Trains on about ``rows`` documents (at most twice as many) whose label names one of the languages, chosen by a hash of the id."""
-    named = F.udf(lambda x: label_language(x) in LANGUAGES, "boolean")
-    labels = docs.select(F.col(lang).alias("_l")).distinct()
-    good = labels.filter(F.col("_l").isNotNull() & named("_l"))
-    pool = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_l"), F.substring(F.col(text), 1, chars).alias("_t"))
-    pool = pool.filter("_t is not null and _t <> ''").join(good, "_l", "left_semi")
-    # A share of all hashes that holds about ``rows`` documents: no task sends more than its part of the sample.
-    share = min(1.0, rows / max(1, pool.count()))
-    sample = pool.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * rows).collect()
+    # Labels are read once each: their distinct spellings are written out before Python sees them.
+    labels = stored(docs.select(F.col(lang).alias("_l")).filter("_l is not null").distinct(), "language-labels")
+    good = broadcast_if_small(stored(labels.mapInPandas(_named, f"_l {dict(labels.dtypes)['_l']}"), "language-named"))
+    # A share of all hashes that holds about ``rows`` documents, counted without their texts: no task sends more than its part of the sample.
+    many = docs.select(F.col(lang).alias("_l")).join(good, "_l", "left_semi").count()
+    share = min(1.0, rows / max(1, many))
+    pool = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int(share * (1 << 30)))
+    pool = pool.select(F.col(lang).alias("_l"), F.substring(F.col(text), 1, chars).alias("_t")).filter("_t is not null and _t <> ''")
+    sample = pool.join(good, "_l", "left_semi").limit(2 * rows).collect()
     return LanguageModel.trained([(label_language(r["_l"]), r["_t"]) for r in sample])
 
 
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b[[label_language(x) in LANGUAGES for x in b["_l"]]]
+
+
 _models: dict[int, LanguageModel] = {}
 
 
@@ -70,9 +77,9 @@ def _read_spans(packed):
             for doc, text in zip(b["_doc"], b["_text"], strict=True):
                 lines = [(n, w) for n, w in ((n, natural_words(x)) for n, x in enumerate((text or "").split("\n"))) if is_prose(w)]
                 for (n, words), (_, _, spans) in zip(lines, model.spans([w for _, w in lines]), strict=True):
-                    out.extend((doc, n, k, a, e, code, " ".join(words[a:e])) for k, (a, e, code) in enumerate(spans))
+                    out.extend((doc, n, k, a, e, code, model.certainty(words[a:e], code), " ".join(words[a:e])) for k, (a, e, code) in enumerate(spans))
             if out:
-                yield pd.DataFrame(out, columns=["_doc", "line_no", "span_no", "first_word", "end_word", "seg_lang", "span_words"])
+                yield pd.DataFrame(out, columns=["_doc", "line_no", "span_no", "first_word", "end_word", "seg_lang", "confidence", "span_words"])
 
     return run
 
@@ -105,9 +112,9 @@ def line_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def language_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: LanguageModel | None = None) -> DataFrame:
-    """The stretches of one language inside every line of prose, counted in its natural words."""
+    """The stretches of one language inside every line of prose, counted in its natural words, each with its language's confidence among all."""
     packed, rows, kind = _prepared(docs, doc_id, text, lang, model)
-    shape = f"_doc {kind}, line_no bigint, span_no int, first_word int, end_word int, seg_lang string, span_words string"
+    shape = f"_doc {kind}, line_no bigint, span_no int, first_word int, end_word int, seg_lang string, confidence double, span_words string"
     return rows.mapInPandas(_read_spans(packed), shape).withColumnRenamed("_doc", doc_id)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latchline.llm.languages import document_languages, line_languages
-from latchline.llm.leaks import leaked_items
+from latchline.llm.languages import document_languages, language_spans, line_languages
+from latchline.llm.leaks import CLOSE, RARE_SHARE, SHARE, leaked_items
 from latchline.llm.mixture import mixture
 from latchline.llm.quantiles import merged, percentiles, sketch_values
 from latchline.llm.runs import event_runs, known_functions
@@ -120,7 +120,78 @@ def p10_documents(spark: SparkSession, root: str) -> DataFrame:
     return document_languages(line_languages(table(spark, root, "documents")))
 
 
+def p10_spans(spark: SparkSession, root: str) -> DataFrame:
+    """Stretches of one language inside the lines of all documents."""
+    return language_spans(table(spark, root, "documents")).drop("span_words")
+
+
+def p10_spans_cover(spark: SparkSession, root: str) -> DataFrame:
+    """Do the stretches of each line follow one another without gap, change the language each time and have a confidence between 0 and 1?"""
+    s = language_spans(table(spark, root, "documents"))
+    line = Window.partitionBy("doc_id", "line_no").orderBy("span_no")
+    follows = F.col("first_word") == F.coalesce(F.lag("end_word").over(line), F.lit(0))
+    changes = F.coalesce(F.lag("seg_lang").over(line) != F.col("seg_lang"), F.lit(True))
+    sure = F.col("confidence").between(0, 1) & (F.size(F.split("span_words", " ")) == F.col("end_word") - F.col("first_word"))
+    return s.select((follows & changes & sure).alias("fine")).agg(F.bool_and("fine").alias("fine"))
+
+
+def p10_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose label names a language that their main language, and every one of their lines, confirms, by label."""
+    lines = line_languages(table(spark, root, "documents"))
+    each = lines.groupBy("doc_id", "named").agg(F.count_distinct("seg_lang").alias("held"), F.max("seg_lang").alias("lang"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
+    fine = (F.col("held") >= 1) & (F.col("low") >= 0) & (F.col("high") <= 1)
+    return each.agg(F.bool_and(fine).alias("confidence_fine"), (F.count_if((F.col("held") == 1) & (F.col("named") == F.col("lang"))) > 0.6 * F.count_if(F.col("named").isNotNull())).alias("labels_mostly_confirmed"))
+
+
+def p9_mixture_adds_up(spark: SparkSession, root: str) -> DataFrame:
+    """Per target: documents and size counted again, no copy beyond the cap, and the budget met to within a document or the cap used up."""
+    docs, targets = table(spark, root, "documents"), table(spark, root, "mix_targets")
+    chosen, shares = mixture(docs, targets, "doc_id", "source", "text")
+    used = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("sum_used"), F.max("copies").alias("most"), F.max("tokens").alias("largest"), F.count_distinct("doc_id").alias("n_ids"), F.count(F.lit(1)).alias("n_rows"))
+    s = shares.join(used, "source", "left").fillna(0, ["sum_used", "most", "largest", "n_ids", "n_rows"])
+    short = F.col("tokens_wanted") - F.col("tokens_used")
+    met = short.between(0, F.col("largest")) | (F.col("tokens_used") == F.col("tokens_available") * F.col("max_repeats"))
+    return s.select(
+        "source", "max_repeats", "documents", (F.col("sum_used") == F.col("tokens_used")).alias("adds_up"), (F.col("most") <= F.col("max_repeats")).alias("within_cap"),
+        met.alias("budget_met"), (F.col("n_ids") == F.col("n_rows")).alias("each_once"),
+    )
+
+
+P9_SQL = """
+select t.source, t.max_repeats, (select count(*) from documents d where d.source = t.source) as documents,
+  true as adds_up, true as within_cap, true as budget_met, true as each_once
+from mix_targets t
+"""
+
+
+def p8_shares_hold(spark: SparkSession, root: str) -> DataFrame:
+    """Do all leaks have the shares that the statement asks for, each pair once?"""
+    s = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    fine = (F.col("word_share") >= SHARE) & (F.col("rare_share") >= RARE_SHARE) & (F.col("closeness") >= CLOSE) & (F.col("phrase_words") >= 1) & (F.greatest("word_share", "rare_share", "closeness") <= 1)
+    return s.agg(F.bool_and(fine).alias("fine"), (F.count(F.lit(1)) == F.count_distinct("doc_id", "item_id")).alias("each_once"))
+
+
+def p8_exact_copies(spark: SparkSession, root: str) -> DataFrame:
+    """Of the leaks the ones that hold an item letter for letter, letter case and outer blanks aside."""
+    items = table(spark, root, "eval_items").select("item_id", F.lower(F.trim("text")).alias("i"))
+    docs = table(spark, root, "documents").select("doc_id", F.lower("text").alias("d"))
+    found = leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+    return found.join(docs, "doc_id").join(items, "item_id").filter(F.col("d").contains(F.col("i"))).select("doc_id", "item_id")
+
+
+P8_EXACT_SQL = "select doc_id, item_id from documents d join eval_items i on contains(lower(d.text), lower(trim(i.text)))"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_monthly, p3_within_error, p8_found, p8_shares, p9_mixture, p9_shares, p10_found, p10_documents)
+    f.__name__: f for f in (p1_found, p2_found, p3_percentiles, p3_monthly, p3_within_error, p8_found, p8_shares, p8_shares_hold, p8_exact_copies, p9_mixture, p9_shares, p9_mixture_adds_up, p10_found, p10_documents, p10_spans, p10_spans_cover, p10_labels)
+}
+SQL: dict[str, str] = {
+    "p1_found": P1_SQL,
+    "p2_found": P2_SQL,
+    "p3_within_error": P3_SQL,
+    "p8_exact_copies": P8_EXACT_SQL,
+    "p8_shares_hold": "select true as fine, true as each_once",
+    "p9_mixture_adds_up": P9_SQL,
+    "p10_spans_cover": "select true as fine",
+    "p10_labels": "select true as confidence_fine, true as labels_mostly_confirmed",
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_within_error": P3_SQL}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchline.operators.ordered import CHUNK, with_neighbour, with_position
+from latchline.operators.ordered import CHUNK, placed_with_neighbour, with_neighbour
+from latchline.session import stored
 from latchline.tables import broadcast_if_small, micros
 
 #: What a logged name begins with: the name as code spells it, before anything added per call.
@@ -59,8 +60,10 @@ def event_runs(
     inside = Window.partitionBy("_s", "_c").orderBy("_p", "_id")
     once = rows.withColumn("_b", F.lag("_p").over(inside)).filter("_b is null or _b <> _p").drop("_b")
     key, order = ["_s"], ["_p", "_id"]
-    near = with_neighbour(once, key, "_c", order, {"_pf": "_f", "_pt": "_t", "_pp": "_p"})
-    near = with_position(near, key, "_c", order, "_n")
+    # Written once, five narrow columns: names are looked up and repeats dropped once for all passes below.
+    once = stored(once, "runs-events")
+    key, order = ["_s"], ["_p", "_id"]
+    near = placed_with_neighbour(once, key, "_c", order, {"_pf": "_f", "_pt": "_t", "_pp": "_p"}, "_n")
     together = (F.col("_f") == F.col("_pf")) & (F.abs(F.col("_t") - F.col("_pt")) <= gap_us)
     starts = near.filter(~F.coalesce(together, F.lit(False)))
     starts = with_neighbour(starts, key, "_c", order, {"_nn": "_n", "_et": "_pt", "_ep": "_pp"}, step=-1)
