@@ -28,7 +28,10 @@ def duration_ms(value: Column, unit: Column) -> Column:
     return F.coalesce(F.greatest((v * times / parts).cast("long"), F.when(v.isNotNull(), least)), F.lit(0)).cast("long")
 
 
+# An ISO time inside a line; what precedes or follows the bare name of a function; protocol prefixes of log labels.
 ISO_TIME = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)"
+ARGUMENTS, LEADING, MODULE_MARK, CLASS_MARK = r"\(.*\)", "^_+", r"\.", "::"
+LABEL_PREFIXES = ("^dissect_", "^(diameter|gtpv2)_")
 
 
 def iso_us(text: Column) -> Column:
@@ -56,9 +59,9 @@ def first_of(*parts: Column) -> Column:
 
 def bare_name(name: Column) -> Column:
     """A logged name without brackets, leading underscores, module and class prefixes, in lower case."""
-    c = F.trim(F.regexp_replace(name, r"\(.*\)", ""))
-    c = F.regexp_replace(c, "^_+", "")
-    c = F.element_at(F.split(F.element_at(F.split(c, r"\."), -1), "::"), -1)
+    c = F.regexp_replace(F.trim(F.regexp_replace(name, ARGUMENTS, "")), LEADING, "")
+    for mark in (MODULE_MARK, CLASS_MARK):
+        c = F.element_at(F.split(c, mark), -1)
     return F.lower(c)
 
 
@@ -73,7 +76,9 @@ _FORMS = {w: sorted({v for k, v in ALIASES.items() if k == w} | {k for k, v in A
 
 def name_tokens(name: Column) -> Column:
     """Lower-case parts (longer than one character) of a label, its protocol prefix dropped, with their other forms."""
-    raw = F.regexp_replace(F.regexp_replace(F.lower(name), "^dissect_", ""), "^(diameter|gtpv2)_", "")
+    raw = F.lower(name)
+    for prefix in LABEL_PREFIXES:
+        raw = F.regexp_replace(raw, prefix, "")
     parts = F.filter(F.split(raw, "[^a-z0-9]+"), lambda x: F.length(x) > 1)
     table = F.create_map(*[x for w, forms in sorted(_FORMS.items()) for x in (F.lit(w), F.array(*[F.lit(f) for f in forms]))])
     more = F.flatten(F.filter(F.transform(parts, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()))

@@ -22,15 +22,19 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
+# Prefixes that symbols and files of one protocol have, and what each degree of likeness scores; a header loses one.
+SYMBOL_PREFIX, FILE_PREFIX = "^(dissect|tcp|diameter|gtpv[12])_+", "^packet-"
+NAMED_ALIKE, ALL_PARTS, SOME_PART, HEADER = 3, 2, 1, -1
+
+
 def canonical_score(name: Column, path: Column) -> Column:
-    """How much a file looks like the place where a symbol of this name belongs."""
-    raw = F.regexp_replace(F.lower(name), "^(dissect|tcp|diameter|gtpv[12])_+", "")
-    tokens = F.filter(F.split(raw, "[^a-z0-9]+"), lambda x: F.length(x) > 1)
-    stem = F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(path, "/"), -1)), r"\.[^.]*$", ""), "^packet-", "")
-    every = F.forall(tokens, lambda t: stem.contains(t))
-    same = (stem == F.array_join(tokens, "_")) | (stem == F.get(tokens, F.lit(0)))
-    base = F.when(every & same, 3).when(every, 2).when(F.exists(tokens, lambda t: F.lower(path).contains(t)), 1).otherwise(0)
-    return F.when(F.size(tokens) == 0, 0).otherwise(base - F.when(path.endswith(".h"), 1).otherwise(0))
+    """How much a file looks like the place where a symbol of this name belongs: by how many of the symbol's parts its name has."""
+    parts = F.filter(F.split(F.regexp_replace(F.lower(name), SYMBOL_PREFIX, ""), "[^a-z0-9]+"), lambda x: F.length(x) > 1)
+    stem = F.regexp_replace(F.regexp_extract(F.lower(path), r"([^/]*?)(\.[^./]*)?$", 1), FILE_PREFIX, "")
+    held = F.size(F.filter(parts, lambda t: stem.contains(t)))
+    alike = stem.isin(F.array_join(parts, "_"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
+    degree = F.when(held < F.size(parts), F.when(F.exists(parts, lambda t: F.lower(path).contains(t)), SOME_PART).otherwise(0)).otherwise(F.when(alike, NAMED_ALIKE).otherwise(ALL_PARTS))
+    return F.when(F.size(parts) == 0, 0).otherwise(degree + F.when(path.endswith(".h"), HEADER).otherwise(0))
 
 
 def match_names(names: DataFrame, index: DataFrame, fuzzy: float = FUZZY, overlap: float = OVERLAP) -> DataFrame:

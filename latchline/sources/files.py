@@ -19,8 +19,9 @@ from latchline.tables import table
 
 # Names of the stored tables.
 TABLES = (
-    "tracked_repositories pipeline_runs step_timings app_log_sessions app_function_calls universal_log_records parsed_function_calls indexed_functions raw_log_lines documents"
-).split()
+    "tracked_repositories", "pipeline_runs", "step_timings", "app_log_sessions", "app_function_calls",
+    "universal_log_records", "parsed_function_calls", "indexed_functions", "raw_log_lines", "documents",
+)
 # Languages by file ending.
 ENDINGS = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".c": "c", ".h": "c"}
 
