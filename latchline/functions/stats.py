@@ -34,11 +34,3 @@ def clamped(c: Column, low: float, high: float) -> Column:
 def spread(value: Column) -> Column:
     """Population standard deviation, 0 with fewer than two values."""
     return F.coalesce(F.when(F.count(value) >= 2, F.stddev_pop(value)), F.lit(0.0))
-
-
-def labelled(value: Column, steps: list[tuple[float, str]], last: str) -> Column:
-    """The label of the first bound that ``value`` lies below."""
-    out = None
-    for bound, name in steps:
-        out = F.when(value < bound, name) if out is None else out.when(value < bound, name)
-    return out.otherwise(last)

@@ -17,8 +17,8 @@ STAMPED = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z)\s+(.*)$"
 ANNOTATED = r"^##\[(group|endgroup|error|warning)\](.*)$"
 HEADER = r"^===\s+(.+?)\s+===$"
 NUMBERED = r"^(\d+)_(.+)$"
-#: Characters an excerpt keeps: half from its beginning and half from its end; lines it is made from at each end.
-EXCERPT, EXCERPT_LINES = 2000, 100
+#: Characters an excerpt keeps, half from each end where there are more, and what marks the cut.
+EXCERPT, CUT_MARK = 2000, "\n... [truncated] ...\n"
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
@@ -42,18 +42,40 @@ def header_step(header: Column) -> tuple[Column, Column]:
     return name, F.coalesce(number.try_cast("int"), F.lit(0))
 
 
+def _excerpts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, log_excerpt``: the messages of each step, long ones cut in their middle.
+
+    Running lengths tell which lines reach into the kept ends, so a step of any size gives few lines.
+    """
+    half = EXCERPT // 2
+    sized = rows.select("file", *[k for k in keys if k != "file"], "line_no", "_c", F.coalesce("raw_message", F.lit("")).alias("_t"))
+    sized = sized.withColumn("_len", (F.length("_t") + 1).cast("long"))
+    sized = with_running(sized, ["file"], "_c", ["line_no"], F.col("_len"), "_upto")
+    ends = sized.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_len")).alias("_from"), F.max("_upto").alias("_to"))
+    near = sized.join(ends, keys).withColumn("_size", F.col("_to") - F.col("_from") - 1)
+    head = F.col("_upto") - F.col("_len") - F.col("_from") < F.when(F.col("_size") <= EXCERPT, EXCERPT + 1).otherwise(half)
+    tail = (F.col("_to") - F.col("_upto") < half) & (F.col("_size") > EXCERPT)
+    near = near.filter(head | tail)
+    part = lambda test, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("line_no", text.alias("_t"))))), lambda x: x["_t"]), "\n")
+    text = near.groupBy(*keys, "_size").agg(part(head, F.substring("_t", 1, EXCERPT)).alias("_head"), part(tail, F.right("_t", F.lit(half))).alias("_tail"))
+    whole = F.col("_size") <= EXCERPT
+    cut = F.concat(F.substring("_head", 1, half), F.lit(CUT_MARK), F.right("_tail", F.lit(half)))
+    return text.select(*keys, F.when(whole, F.col("_head")).otherwise(cut).alias("log_excerpt"))
+
+
 def _roll_up(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Times, status, last annotation and excerpt of each step from its lines."""
     noted = F.when(F.col("annotation").isin("error", "warning") & F.col("counts"), F.col("annotation"))
     out = rows.groupBy(*keys).agg(
-        F.min("ts_us").alias("started_us"), F.max("ts_us").alias("ended_us"), F.count(F.lit(1)).alias("lines"), F.sum(F.length("raw_message") + 1).alias("_size"),
+        F.min("ts_us").alias("started_us"), F.max("ts_us").alias("ended_us"), F.count(F.lit(1)).alias("lines"),
         F.max_by(noted, F.when(noted.isNotNull(), F.col("line_no"))).alias("annotation"), F.coalesce(F.bool_or(noted == "error"), F.lit(False)).alias("_bad"),
         F.min("line_no").alias("first_line_no"), F.max("line_no").alias("last_line_no"),
     )
-    return out.select(
+    out = out.select(
         *keys, "first_line_no", "last_line_no", "lines", "started_us", "ended_us", F.expr("(ended_us - started_us) div 1000").alias("duration_ms"),
         F.when(F.col("_bad"), "failure").otherwise("success").alias("status"), "annotation",
     )
+    return out.join(_excerpts(rows, keys), keys)
 
 
 def archive_steps(lines: DataFrame) -> DataFrame:
@@ -102,12 +124,6 @@ def flat_steps(lines: DataFrame) -> DataFrame:
     return steps.withColumn("step_name", name).withColumn("step_number", number.cast("int")).drop("_group", "_name")
 
 
-def cut_excerpt(text: Column, most: int = EXCERPT) -> Column:
-    """Long texts keep the same length from both ends around a mark."""
-    half = most // 2
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, half), F.lit("\n... [truncated] ...\n"), F.right(text, F.lit(half))))
-
-
 def clean_line(line: Column) -> Column:
     """A line without time and annotation mark."""
     return F.trim(F.regexp_replace(F.regexp_replace(line, r"^\d{4}-\d{2}-\d{2}T[\d:.]+Z\s*", ""), r"##\[\w+\]", ""))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latchline.functions.stats import interpolated
-from latchline.functions.units import bare_name, duration_ms, name_tokens, token_overlap
+from latchline.functions.units import ALIASES, bare_name, duration_ms, name_tokens, token_overlap
 from latchline.operators import linkage, runtime_logs, timings
 from latchline.operators.ci_logs import clean_line, flat_steps
 from latchline.operators.ordered import CHUNK, with_neighbour, with_position
-from latchline.operators.text_rules import classify_domain, security_signals, stable_id
+from latchline.operators.text_rules import SIGNALS, classify_domain, security_signals, stable_id
+from latchline.session import stored
 from latchline.tables import micros, table
 
 DAY_US = 86_400_000_000
@@ -246,19 +247,59 @@ def duration_units(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "v string, u string").withColumn("ms", duration_ms(F.col("v"), F.col("u")))
 
 
-@query()
+BARE_SQL = "lower(split_part(regexp_replace(trim(regexp_replace({0}, '\\(.*\\)', '')), '^_+', ''), '.', -1))"
+#: Names settled by the exact and the normalised stage; the looser stages compare spellings, which SQL can't.
+SETTLED = f"""n as (select distinct app_name, name from ({{names}}) where app_name is not null and name is not null),
+f as (select *, {BARE_SQL.format("function_name")} bare from indexed_functions),
+m as (select n.app_name, n.name, coalesce(e.id, b.id) function_id, case when e.id is not null then 'exact' when b.id is not null then 'normalised' else 'looser or none' end stage
+  from n left join f e on e.app_name = n.app_name and e.function_name = n.name
+  left join f b on b.app_name = n.app_name and b.bare = {BARE_SQL.format("n.name")}
+  qualify row_number() over (partition by n.app_name, n.name order by b.file_path, b.line_number, b.function_name) = 1)"""
+
+
+@query(
+    f"""with {SETTLED.format(names="select app_name, func_name as name from universal_log_records u join app_log_sessions s on s.id = u.session_id")}
+select s.app_name, m.stage, count(*) records, count(distinct u.func_name) names from universal_log_records u join app_log_sessions s on s.id = u.session_id
+join m on m.app_name = s.app_name and m.name = u.func_name group by all"""
+)
 def app_trace(spark: SparkSession, root: str) -> DataFrame:
     """Logged names of every session linked to the index: exact, normalised, fuzzy, then by tokens."""
     calls = table(spark, root, "universal_log_records").select("record_id", "session_id", F.col("func_name").alias("function_name"))
     out = linkage.match_calls(calls, table(spark, root, "app_log_sessions"), table(spark, root, "indexed_functions"))
-    return out.groupBy("app_name", "match_method").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("name").alias("names"))
+    stage = F.when(F.col("match_method").isin("exact", "normalised"), F.col("match_method")).otherwise("looser or none")
+    out = out.filter("app_name is not null and name is not null")
+    return out.groupBy("app_name", stage.alias("stage")).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("name").alias("names"))
 
 
-@query()
-def name_matches(spark: SparkSession, root: str) -> DataFrame:
+NAMES_SQL = SETTLED.format(names="select app_name, function_name as name from app_function_calls c join app_log_sessions s on s.id = c.session_id")
+
+
+def _session_names(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "app_log_sessions").select(F.col("id").alias("session_id"), "app_name")
-    names = table(spark, root, "app_function_calls").select("session_id", F.col("function_name").alias("name")).distinct().join(s, "session_id")
-    return linkage.match_names(names, table(spark, root, "indexed_functions"))
+    return table(spark, root, "app_function_calls").select("session_id", F.col("function_name").alias("name")).distinct().join(s, "session_id").filter("app_name is not null and name is not null")
+
+
+@query(f"with {NAMES_SQL} select app_name, name, stage, case when stage <> 'looser or none' then function_id end function_id, true as score_fits from m")
+def name_matches(spark: SparkSession, root: str) -> DataFrame:
+    """The function each name means where spelling settles it; where likeness does, whether the score is in its method's range."""
+    out = linkage.match_names(_session_names(spark, root), table(spark, root, "indexed_functions"))
+    sure = F.coalesce(F.col("match_method").isin("exact", "normalised"), F.lit(False))
+    least = F.when(sure, 1.0).when(F.col("match_method") == "fuzzy", linkage.FUZZY).when(F.col("match_method") == "tokens", linkage.OVERLAP)
+    fits = F.when(F.col("match_method").isNull(), F.col("function_id").isNull()).otherwise(F.col("match_score").between(least, 1.0))
+    return out.select("app_name", "name", F.when(sure, F.col("match_method")).otherwise("looser or none").alias("stage"), F.when(sure, F.col("function_id")).alias("function_id"), fits.alias("score_fits"))
+
+
+@query(
+    f"""with {NAMES_SQL}, k as (select s.id, avg(case when m.stage <> 'looser or none' then 1.0 else 0.0 end) r
+  from (select distinct session_id, function_name from app_function_calls) c join app_log_sessions s on s.id = c.session_id join m on m.app_name = s.app_name and m.name = c.function_name group by all)
+select id as session_id, round_even(r, 3) match_rate from k"""
+)
+def match_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of a session's distinct names that the index knows by spelling."""
+    names = _session_names(spark, root)
+    out = names.join(linkage.match_names(names, table(spark, root, "indexed_functions")), ["app_name", "name"])
+    known = F.when(F.col("match_method").isin("exact", "normalised"), 1.0).otherwise(0.0)
+    return out.groupBy("session_id").agg(F.bround(F.avg(known), 3).alias("match_rate"))
 
 
 @query(
@@ -299,7 +340,14 @@ def enclosing_functions(spark: SparkSession, root: str) -> DataFrame:
     return linkage.enclosing_function(c.join(s, "session_id"), table(spark, root, "indexed_functions"))
 
 
-@query()
+@query(
+    f"""with al as (select * from (values {", ".join(f"('{k}', '{v}')" for k, v in ALIASES.items())}) t(a, b)), both_ways as (select a, b from al union select b, a from al),
+t as (select distinct app_name, function_name, g from (select app_name, function_name, unnest(regexp_split_to_array(regexp_replace(regexp_replace(lower(function_name), '^dissect_', ''), '^(diameter|gtpv2)_', ''), '[^a-z0-9]+')) g from indexed_functions) where length(g) > 1),
+w as (select * from t union select app_name, function_name, b from t join both_ways on a = g),
+n as (select app_name, function_name, count(*) k from w group by all),
+c as (select x.app_name, x.function_name a, y.function_name b, count(*) m from w x join w y on x.app_name = y.app_name and x.g = y.g and x.function_name < y.function_name group by all)
+select c.app_name, a, b, round_even(m / (p.k + q.k - m), 4) overlap from c join n p on p.app_name = c.app_name and p.function_name = a join n q on q.app_name = c.app_name and q.function_name = b"""
+)
 def token_overlaps(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of an app's functions that share a token, with the overlap of their token sets."""
     f = table(spark, root, "indexed_functions").select("app_name", "function_name", name_tokens(F.col("function_name")).alias("t"))
@@ -321,7 +369,37 @@ def stored_lines(spark: SparkSession, root: str) -> DataFrame:
 LINES = "l as (select session_id file, line_no, raw_line line from raw_log_lines where session_id is not null and line_no is not null qualify row_number() over (partition by session_id, line_no order by line_id) = 1)"
 
 
-@query()
+def _re2(key: str) -> str:
+    """A detection pattern for DuckDB: flags in its spelling, quotes doubled."""
+    p = runtime_logs.DETECT[key]
+    flags, rest = p[: p.index(")")], p[p.index(")") + 1 :].replace("'", "''")
+    return ("(?i)" if "i" in flags else "") + rest
+
+
+def _hits(key: str, most: int) -> str:
+    return f"count(*) filter (where k <= {most} and regexp_matches(line, '{_re2(key)}')) / least(max(n), {most})"
+
+
+FORMATS_SQL = f"""with {LINES}, s as (select file, line, line_no - min(line_no) over (partition by file) i from l where line is not null),
+c as (select file, line, row_number() over (partition by file order by i) k, count(*) over (partition by file) n,
+  case when regexp_matches(line, '{_re2("frame")}') then 2.0 when regexp_matches(line, '{_re2("elapsed")}') or regexp_matches(line, '{_re2("dissect")}') then 1.0
+    when regexp_matches(line, '{_re2("tool")}') then 0.5 when regexp_matches(line, '{_re2("packet")}') then 0.35 else 0.0 end::double points
+  from s where i < 100 and trim(line) <> ''),
+sc as (select file, count(*) filter (where k <= 30 and trim(line) like '{{%' and json_valid(trim(line))) / least(max(n), 30) json,
+  least({_hits("radcom", 40)} * 2.5, 1.0) radcom, {_hits("spring", 40)} spring, {_hits("rails", 40)} rails,
+  least(coalesce(sum(points), 0) / least(max(n), 45) * 2.8, 1.0) tshark,
+  count(*) filter (where k <= 30 and regexp_matches(line, '(?i)^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+(\\d{{1,2}})\\s+(\\d{{2}}:\\d{{2}}:\\d{{2}}(?:\\.\\d+)?)')) / least(max(n), 30) syslog,
+  count(*) filter (where k <= 40 and regexp_matches(line, '{_re2("logfmt")}') and trim(line) not like '{{%') / least(max(n), 40) logfmt,
+  case when count(*) filter (where k <= 50 and regexp_matches(line, '{_re2("enter")}')) > 0 and count(*) filter (where k <= 50 and regexp_matches(line, '{_re2("exit")}')) > 0 then 0.9 else 0.0 end enter_exit
+  from c group by file),
+b as (select *, greatest(json, radcom, spring, rails, tshark, syslog, logfmt, enter_exit) best from sc)"""
+
+
+@query(
+    FORMATS_SQL
+    + f""" select file, case when best < 0.06 then 'heuristic' {" ".join(f"when {k} = best then '{k}'" for k in runtime_logs.FORMATS)} end log_format,
+  round_even(case when best > 0.3 then best when best >= 0.06 then greatest(best, 0.12) when best = 0 then 0.25 else 0.18 end, 3) confidence from b"""
+)
 def detected_formats(spark: SparkSession, root: str) -> DataFrame:
     d = runtime_logs.detect_format(stored_lines(spark, root))
     return d.select("file", "log_format", F.bround("confidence", 3).alias("confidence"))
@@ -362,19 +440,26 @@ def plain_calls(spark: SparkSession, root: str) -> DataFrame:
     return runtime_logs.parse_heuristic(stored_lines(spark, root)).select("file", "line_no", "func_name", "call_number", "duration_ms")
 
 
-@query()
+@query(f"with {LINES} select count(distinct file) as files, true as numbered, true as named, true as timed from l")
 def parsed_calls(spark: SparkSession, root: str) -> DataFrame:
-    """All stored files, each by the parser of its named or detected format."""
+    """All stored files, each by the parser of its named or detected format: are a function's calls numbered 1 to n, named in their line and of no negative time?"""
     named = table(spark, root, "app_log_sessions").select(F.col("id").alias("file"), "log_format")
-    return runtime_logs.parse_lines(stored_lines(spark, root), named).drop("raw_line")
-
-
-@query()
-def json_calls(spark: SparkSession, root: str) -> DataFrame:
-    return runtime_logs.parse_json(stored_lines(spark, root)).drop("raw_line")
+    lines = stored_lines(spark, root)
+    calls = stored(runtime_logs.parse_lines(lines, named), "parsed-calls")
+    each = calls.groupBy("file", "func_name").agg(F.count(F.lit(1)).alias("n"), F.max("call_number").alias("m"), F.count_distinct("call_number").alias("d"))
+    fits = calls.select((F.col("duration_ms") >= 0).alias("timed"), F.col("raw_line").contains(F.element_at(F.split("func_name", ":"), 1)).alias("named"))
+    return spark.sql(
+        """select (select count(distinct file) from {lines}) as files, (select bool_and(n = m and n = d) from {each}) as numbered,
+        (select bool_and(named) from {fits}) as named, (select bool_and(timed) from {fits}) as timed""",
+        lines=lines, each=each, fits=fits,
+    )
 
 
-@query()
+@query(
+    f"""with {LINES}, m as (select file, line_no, regexp_extract(line, '(?i)(\\w+)\\s+took\\s+([\\d.]+)(ms|s)', ['f', 'v', 'u']) g from l)
+select file, line_no, g.f func_name, row_number() over (partition by file, g.f order by line_no)::bigint call_number,
+  case when try_cast(g.v as double) is null then 0 when lower(g.u) = 's' then trunc(g.v::double * 1000) else trunc(g.v::double) end::bigint duration_ms, null::bigint timestamp_us from m where g.f <> ''"""
+)
 def custom_calls(spark: SparkSession, root: str) -> DataFrame:
     return runtime_logs.parse_custom(stored_lines(spark, root), r"(?P<func>\w+)\s+took\s+(?P<duration>[\d.]+)(?P<unit>ms|s)").drop("raw_line")
 
@@ -388,7 +473,24 @@ def line_context(spark: SparkSession, root: str) -> DataFrame:
     return runtime_logs.with_excerpt(lines.filter(F.col("line").contains("replayed entry")).select("file", "line_no"), lines, 2, 2)
 
 
-@query()
+CI_SQL = f"""with {LINES}, p as (select file, line_no, regexp_extract(regexp_replace(line, '\\s+$', ''), '^(\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d+Z)\\s+(.*)$', ['t', 'm']) g from l),
+r as (select file, line_no, epoch_us(g.t::timestamptz) ts, g.m raw, regexp_extract(g.m, '^##\\[(group|endgroup|error|warning)\\](.*)$', ['k', 'm']) a from p where g.t <> ''),
+e as (select *, a.k = 'endgroup' is_end, row_number() over (partition by file order by line_no) n from r),
+d as (select *, n - coalesce(max(case when not is_end then n end) over (partition by file order by line_no), 0) place, max(case when not is_end then n end) over (partition by file order by line_no) is null lead_in from e),
+c as (select *, is_end and (place % 2 = case when lead_in then 0 else 1 end) closes from d),
+b as (select *, a.k = 'group' opens, a.k = 'group' or coalesce(lag(closes) over (partition by file order by line_no), true) begins from c),
+x as (select *, sum(begins::int) over (partition by file order by line_no)::bigint section_no from b),
+y as (select file, section_no, min(line_no) first_line_no, max(line_no) last_line_no, count(*) lines, min(ts) started_us, max(ts) ended_us, (max(ts) - min(ts)) // 1000 duration_ms,
+  case when count(*) filter (where a.k = 'error' and not begins) > 0 then 'failure' else 'success' end status, arg_max(a.k, line_no) filter (where a.k in ('error', 'warning') and not begins) annotation,
+  bool_or(opens) grouped, arg_min(trim(a.m), line_no) filter (where a.k = 'group') title, string_agg(raw, chr(10) order by line_no) t from x group by all)"""
+
+
+@query(
+    CI_SQL
+    + """ select file, section_no, first_line_no, last_line_no, lines, started_us, ended_us, duration_ms, status, annotation,
+  case when not grouped then 'Setup' when title = '' then 'Step ' || section_no else title end step_name, case when grouped then section_no else 0 end::int step_number,
+  case when length(t) <= 2000 then t else left(t, 1000) || chr(10) || '... [truncated] ...' || chr(10) || right(t, 1000) end log_excerpt from y"""
+)
 def ci_steps(spark: SparkSession, root: str) -> DataFrame:
     """CI logs among the stored files rolled up into steps."""
     return flat_steps(stored_lines(spark, root))
@@ -408,10 +510,21 @@ def file_domains(spark: SparkSession, root: str) -> DataFrame:
     return f.withColumn("file_domain", classify_domain(F.col("file_path")))
 
 
-@query()
+#: Constructs appended to the documents, so that the rules have something to find.
+RISKY = ("eval (x)", "pickle.loads(b) api_key = 'k'", "yaml.load(f)")
+SIGNAL_VALUES = ", ".join("('(?is){}', '{}')".format(p.replace("'", "''"), label) for p, label in SIGNALS if "(?!" not in p)
+
+
+@query(
+    "with d as (select text || case doc_id % 3 {} end t from documents where text is not null and doc_id is not null)".format(" ".join("when {} then '{}'".format(i, x.replace("'", "''")) for i, x in enumerate(RISKY)))
+    + f""" select signal, count(*) documents from d, (values {SIGNAL_VALUES}) v(p, signal) where regexp_matches(t, p) group by 1
+union all select 'unsafe yaml.load', count(*) from d where regexp_matches(t, '(?is)yaml\\.load\\s*\\([^)]*\\)') having count(*) > 0"""
+)
 def text_signals(spark: SparkSession, root: str) -> DataFrame:
-    """Risky constructs in documents, by label."""
-    d = table(spark, root, "documents").select(F.explode(security_signals(F.col("text"))).alias("signal"))
+    """Risky constructs by label, in documents that each got one appended."""
+    d = table(spark, root, "documents").filter("text is not null and doc_id is not null")
+    more = F.element_at(F.array(*[F.lit(x) for x in RISKY]), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = d.select(F.explode(security_signals(F.concat("text", more))).alias("signal"))
     return d.groupBy("signal").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -559,7 +672,11 @@ def excerpt_sizes(spark: SparkSession, root: str) -> DataFrame:
     return u.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.length("log_excerpt") > 200).alias("cut"), F.max(F.length(F.substring("log_excerpt", 1, 200))).cast("long").alias("longest"))
 
 
-@query()
+@query("select true as few, true as short, true as first")
 def log_previews(spark: SparkSession, root: str) -> DataFrame:
-    """Format and first records of every stored file."""
-    return runtime_logs.preview(stored_lines(spark, root))
+    """Format and first records of every stored file: at most five each, lines of at most 200 characters, none left out before them."""
+    lines = stored_lines(spark, root)
+    each = runtime_logs.preview(lines).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("upto"), F.max(F.length("raw_line")).alias("longest"))
+    before = runtime_logs.parse_lines(lines).join(each.select("file", "upto"), "file").filter(F.col("line_no") < F.col("upto")).groupBy("file").agg(F.count(F.lit(1)).alias("before"))
+    both = each.join(before, "file", "left").fillna(0, ["before"])
+    return both.agg(F.bool_and(F.col("n") <= 5).alias("few"), F.bool_and(F.col("longest") <= 200).alias("short"), F.bool_and(F.col("before") < F.col("n")).alias("first"))

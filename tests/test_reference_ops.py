@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latchline.functions.sourcecode import frameworks, read_source
 from latchline.functions.units import bare_name, duration_ms, name_tokens
 from latchline.operators import codeindex, flows, linkage, text_rules, timings
-from latchline.operators.ci_logs import archive_steps, cut_excerpt, flat_steps, header_step
+from latchline.operators.ci_logs import archive_steps, flat_steps, header_step
 from latchline.sources import files
 
 Z = "2024-03-01T10:00:{:06.3f}0000Z {}"
@@ -57,8 +57,16 @@ def test_headers_and_excerpts(spark):
     df = spark.createDataFrame([("build/2_Run npm install.txt",), ("test (3.13).txt",), ("b/system.txt",), ("10_test (a).txt",)], "h string")
     name, number = header_step(F.col("h"))
     assert [tuple(r) for r in df.select(name, number).collect()] == [("Run npm install", 2), ("test (3.13)", 0), (None, 0), ("test (a)", 10)]
-    text = spark.createDataFrame([("x" * 3000,)], "t string").select(cut_excerpt(F.col("t"))).first()[0]
-    assert text.startswith("x" * 1000 + "\n...") and text.endswith("x" * 1000)
+
+
+def test_step_excerpts_keep_both_ends(spark):
+    short = ["##[group]short", "one", "", "two", "##[endgroup]"]
+    long = ["##[group]long", *[f"line {n} " + "y" * (n % 90) for n in range(200)], "z" * 5000, "last"]
+    lines = [Z.format(n / 1000, x) for n, x in enumerate([*short, *long])]
+    got = {r["step_name"]: r["log_excerpt"] for r in flat_steps(ci(spark, *lines)).collect()}
+    text = "\n".join(long)
+    assert got["long"] == text[:1000] + "\n... [truncated] ...\n" + text[-1000:]
+    assert got["short"].startswith("##[group]short\none") and got["short"].endswith("two\n##[endgroup]")
 
 
 def history(spark):
