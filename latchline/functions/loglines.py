@@ -33,14 +33,16 @@ KEYS = {
 }
 KEY_CLASS = {k: c for c, names in KEYS.items() for k in names}
 
+#: Tokens by what they begin with: a blank, a digit, a letter, anything else.
 _TEXT = re.compile(
-    r"(?P<SP> +)|(?P<TAB>\t)|(?P<PRI><\d{1,3}>)|(?P<MARK>\#\#\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)"
-    r"|(?P<YMD>\d{4}[-/]\d\d[-/]\d\d(?!\d))|(?P<DMY>\d\d\.\d\d\.\d{4}(?!\d))|(?P<HMS>\d\d:\d\d:\d\d(?!\d))"
-    r"|(?P<EPOCH>\d{10}(?=\.\d))|(?P<GLOG>[TVDIWEFC]\d{4}(?!\w))|(?P<FRAC>[.,]\d+)|(?P<ZONE>(?<=\d)[+-]\d\d:?\d\d(?!\d))"
-    r"|(?P<TEE>T(?=\d\d:))|(?P<ZED>Z(?!\w))"
+    r"(?P<SP> +)"
+    r"|(?=\d)(?:(?P<YMD>\d{4}[-/]\d\d[-/]\d\d(?!\d))|(?P<DMY>\d\d\.\d\d\.\d{4}(?!\d))|(?P<HMS>\d\d:\d\d:\d\d(?!\d))|(?P<EPOCH>\d{10}(?=\.\d))|(?P<INT>\d+))"
+    r"|(?=[^\W\d])(?:(?P<GLOG>[TVDIWEFC]\d{4}(?!\w))|(?P<TEE>T(?=\d\d:))|(?P<ZED>Z(?!\w))"
     r"|(?P<TL>L:)|(?P<TD>D:)|(?P<TFN>F[Nn]:)|(?P<TF>F:)|(?P<TC>C:)|(?P<TT>TI?:)|(?P<TR>R:)"
     r"|(?P<MON>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)(?![\w.]))|(?P<WDAY>(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)(?![\w.]))"
-    r"|(?P<LETTER>[TVDINWEFC](?![\w.:-]))|(?P<NAME>[^\W\d][\w$]*(?:[.-][\w$]+)*)|(?P<INT>\d+)|(?P<DASHES>-{3})|(?P<CHAR>.)",
+    r"|(?P<LETTER>[TVDINWEFC](?![\w.:-]))|(?P<NAME>[\w$]+(?:[.-][\w$]+)*))"
+    r"|(?P<PRI><\d{1,3}>)|(?P<MARK>\#\#\[\w+\]|::(?:error|warning|notice|debug)(?: [^:]*)?::)"
+    r"|(?P<FRAC>[.,]\d+)|(?P<ZONE>(?<=\d)[+-]\d\d:?\d\d(?!\d))|(?P<DASHES>-{3})|(?P<TAB>\t)|(?P<CHAR>.)",
     re.DOTALL,
 )
 _JSON = re.compile(r'(?P<WS>\s+)|(?P<STR>"(?:[^"\\]|\\.)*")|(?P<NUM>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<LIT>true|false|null)|(?P<CHAR>.)', re.DOTALL)
@@ -218,14 +220,14 @@ def visible(raw: str) -> str:
 
 def _text_tokens(text: str, places: list[tuple[int, int]]) -> Iterator[str]:
     """Token classes of free text, one by one as the parser asks for them; ``places`` grows along."""
+    place = places.append
     for m in _TEXT.finditer(text):
         kind = m.lastgroup
-        if kind == "CHAR":
-            kind = m[0]
-        elif kind == "NAME" and m[0].lower() in LEVELS:
-            kind = "LEVEL"
-        places.append(m.span())
-        yield kind
+        place(m.span())
+        if kind == "NAME":
+            yield "LEVEL" if m[0].lower() in LEVELS else kind
+        else:
+            yield m[0] if kind == "CHAR" else kind
 
 
 def _json_tokens(text: str, places: list[tuple[int, int]]) -> list[str]:
