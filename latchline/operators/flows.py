@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latchline.functions.units import first_of
-from latchline.operators.ordered import CHUNK, with_running
+from latchline.functions.units import any_of, first_of
+from latchline.operators.ordered import CHUNK, with_position, with_running
 
 # Markers of the flow that loads a trace, in order, what breaks it, and what may follow its end.
 BEGIN = "[console-function || loadTrace]"
@@ -23,54 +25,51 @@ CLOCK = r"T\s*:\s*\d{4}-\d{2}-\d{2}T(\d{2}):(\d{2}):(\d{2})(\d{6})"
 TRACE = r"traceId[:=]\s*([a-zA-Z0-9]+)"
 
 
-def flow_bounds(lines: list[str]) -> list[tuple[int, int]]:
-    """First and last index of every complete flow; a broken one is given up at the next begin."""
-    starts = [i for i, x in enumerate(lines) if BEGIN in x]
-    broken = [i for i, x in enumerate(lines) if any(b in x for b in BREAKS)]
-    places = {m: [i for i, x in enumerate(lines) if m in x] for m in set(SEQUENCE)}
-    after = lambda xs, i: next((x for x in xs if x >= i), None)
-    out, free = [], 0
-    for s in starts:
-        if s < free:
+def flow_bounds(places: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """First and last place of every complete flow; a broken one is given up at the next begin.
+
+    ``lines`` are those with a marker, ``places`` where they stand in the file.
+    """
+    holds = {m: [p for p, x in zip(places, lines, strict=True) if m in x] for m in {BEGIN, *SEQUENCE}}
+    broken = [p for p, x in zip(places, lines, strict=True) if any(b in x for b in BREAKS)]
+    tails = {p for p, x in zip(places, lines, strict=True) if any(t in x for t in TAIL)}
+    out: list[tuple[int, int]] = []
+    for start in holds[BEGIN]:
+        if out and start <= out[-1][1]:
             continue
-        at: int | None = s + 1
+        at = start
         for marker in SEQUENCE:
-            hit = after(places[marker], at)
-            stop = after(broken, at)
-            if hit is None or (stop is not None and stop < hit):
-                at = None
+            following = holds[marker]
+            k = bisect_right(following, at)
+            b = bisect_right(broken, at)
+            if k == len(following) or (b < len(broken) and broken[b] < following[k]):
                 break
-            at = hit + 1
-        if at is None:
-            continue
-        end = at - 1
-        while end + 1 < len(lines) and any(t in lines[end + 1] for t in TAIL):
-            end += 1
-        out.append((s, end))
-        free = end + 1
+            at = following[k]
+        else:
+            while at + 1 in tails:
+                at += 1
+            out.append((start, at))
     return out
 
 
 def _file_flows(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line_no")
-    numbers = pdf["line_no"].tolist()
-    found = flow_bounds(pdf["line"].tolist())
-    return pd.DataFrame({"file": pdf["file"].iloc[0], "flow_id": range(1, len(found) + 1), "from_line": [numbers[a] for a, _ in found], "to_line": [numbers[b] for _, b in found]})
+    pdf = pdf.sort_values("_p")
+    number = dict(zip(pdf["_p"].tolist(), pdf["line_no"].tolist(), strict=True))
+    found = flow_bounds(list(number), pdf["line"].tolist())
+    return pd.DataFrame({"file": pdf["file"].iloc[0], "flow_id": range(1, len(found) + 1), "from_line": [number[a] for a, _ in found], "to_line": [number[b] for _, b in found]})
 
 
 def trace_flows(lines: DataFrame) -> DataFrame:
     """``(file, flow_id, from_line, to_line)``: complete flows of each file, in order.
 
-    The automaton skips ahead greedily, so a file is scanned in one task; only the text of
-    lines with markers is sent, other lines keep their place alone.  Null lines match nothing;
-    lines without file or number are left out; empty tables give no rows.
+    The automaton skips ahead greedily, so a file's marked lines, few among many, are scanned
+    together with their places; its other lines are numbered where they are and stay there.
+    Null lines match nothing; lines without file or number are left out; empty tables give no rows.
     """
-    marked = (BEGIN, *set(SEQUENCE), *BREAKS, *TAIL)
-    keep = F.lit(False)
-    for m in marked:
-        keep = keep | F.col("line").contains(m)
-    rows = lines.filter("file is not null and line_no is not null")
-    slim = rows.select("file", F.col("line_no").cast("long").alias("line_no"), F.when(keep, F.col("line")).otherwise("").alias("line"))
+    marked = (BEGIN, *dict.fromkeys(SEQUENCE), *BREAKS, *TAIL)
+    rows = lines.filter("file is not null and line_no is not null").select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+    rows = rows.withColumn("_c", F.floor(F.col("line_no") / CHUNK))
+    slim = with_position(rows, ["file"], "_c", ["line_no"], "_p").filter(any_of(*[F.col("line").contains(m) for m in marked])).select("file", "line_no", "line", "_p")
     return slim.groupBy("file").applyInPandas(_file_flows, f"file {dict(rows.dtypes)['file']}, flow_id int, from_line long, to_line long")
 
 
@@ -110,11 +109,26 @@ def between_times(lines: DataFrame, low: str, high: str) -> DataFrame:
     return rows.join(kept, ["file", "_k"], "left_semi").drop("_t", "_c", "_k")
 
 
-def request_kind(path: Column) -> Column:
-    """What a data request asks for, from the shape of its path."""
-    return (
-        F.when(path.rlike(r"/data/packets/[^/\s]+/[^/\s]+"), "packet-related")
-        .when(path.rlike(r"/data/[^/\s]+/[^/\s]+"), "console-function")
-        .when(path.rlike(r"/data/[^/\s]+"), "no-trace")
-    )
+# The shapes of request paths and what each asks for; the function is the part in brackets.
+REQUESTS = (
+    (r"^/data/packets/[^/]+/([^/]+)", "packet-related"),
+    (r"^/data/[^/]+/([^/]+)", "console-function"),
+    (r"^/data/([^/]+)$", "no-trace"),
+)
+# Components whose lines don't count.
+SYSTEM, METRICS = "System", "metrics"
+
+
+def last_request(line: Column) -> tuple[Column, Column]:
+    """Kind and function of the last data request a line names, its commas and dots dropped; null without one."""
+    paths = F.regexp_extract_all(F.regexp_replace(line, "[,.]", ""), F.lit(r"(/data\S*)"), F.lit(1))
+    path = F.try_element_at(paths, F.lit(-1))
+    kind = F.coalesce(*[F.when(path.rlike(shape), name) for shape, name in REQUESTS])
+    func = F.coalesce(*[F.when(path.rlike(shape), F.regexp_extract(path, shape, 1)) for shape, _ in REQUESTS])
+    return kind, func
+
 
+def counted_components(lines: DataFrame, component: str) -> DataFrame:
+    """Lines of components that count: named, not the system's own and not of metrics."""
+    c = F.col(component)
+    return lines.filter(c.isNotNull() & (c != "") & (c != SYSTEM) & ~F.lower(c).contains(METRICS))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latchline.functions.units import bare_name, name_tokens, token_overlap
+from latchline.operators.text_rules import fits_hints, path_hints
 from latchline.tables import broadcast_if_small
 
 # Least similarity of spellings and of token sets; depth of caller chains; direct callers listed.
@@ -68,9 +69,14 @@ def match_names(names: DataFrame, index: DataFrame, fuzzy: float = FUZZY, overla
     scored = met.withColumn("_sim", similarity("_bare", "_fbare")).filter(F.col("_sim") >= fuzzy)
     close = best(scored.join(f.drop("_bare"), ["app_name", "function_id"]), "fuzzy", F.col("_sim"))
     left = left.join(close, ["app_name", "name"], "left_anti")
-    ta = left.withColumn("_ta", name_tokens(F.col("name")))
-    tb = f.select("app_name", "function_id", name_tokens(F.col("function_name")).alias("_tb"))
-    shared = ta.select("app_name", "name", "_ta", F.explode("_ta").alias("_g")).join(tb.select("app_name", "function_id", "_tb", F.explode("_tb").alias("_g")), ["app_name", "_g"])
+    # Labels of a protocol family are compared with the functions of its files, if the app has any.
+    hinted = left.withColumn("_hints", path_hints(F.col("name")))
+    fitting = hinted.filter("_hints is not null").join(f.select("app_name", "file_path"), "app_name").filter(fits_hints(F.col("file_path"), F.col("_hints"))).select("app_name", "name").distinct()
+    hinted = hinted.join(fitting.withColumn("_fit", F.lit(True)), ["app_name", "name"], "left").withColumn("_hints", F.when(F.col("_fit"), F.col("_hints"))).drop("_fit")
+    ta = hinted.withColumn("_ta", name_tokens(F.col("name")))
+    tb = f.select("app_name", "function_id", "file_path", name_tokens(F.col("function_name")).alias("_tb"))
+    shared = ta.select("app_name", "name", "_ta", "_hints", F.explode("_ta").alias("_g")).join(tb.select("app_name", "function_id", "file_path", "_tb", F.explode("_tb").alias("_g")), ["app_name", "_g"])
+    shared = shared.filter(fits_hints(F.col("file_path"), F.col("_hints")))
     shared = shared.select("app_name", "name", "_ta", "function_id", "_tb").distinct().withColumn("_sim", token_overlap(F.col("_ta"), F.col("_tb"))).filter(F.col("_sim") >= overlap)
     tokens = best(shared.join(f.drop("_bare"), ["app_name", "function_id"]), "tokens", F.col("_sim"))
     found = exact.unionByName(near).unionByName(close).unionByName(tokens)
@@ -102,6 +108,32 @@ def text_matches(texts: DataFrame, strings: DataFrame, fuzzy: float = FUZZY) ->
     return exact.unionByName(close)
 
 
+# What step names begin with that no function does, the shortest name looked for, and confidences.
+STEP_PREFIX, LEAST_TERM, IN_NAME, IN_PATH = "^(run |step |execute )+", 3, 0.5, 0.3
+
+
+def step_matches(steps: DataFrame, index: DataFrame) -> DataFrame:
+    """``step_name, function_id, confidence`` of each distinct step name: the first function whose name holds it (0.5), else whose path does (0.3).
+
+    A name is looked up by its first three characters among all runs of three that names and
+    paths hold, so only functions that may hold it are compared.  Null names are left out;
+    names without a match have nulls.
+    """
+    terms = steps.select("step_name").filter("step_name is not null").distinct().withColumn("_t", F.regexp_replace(F.lower("step_name"), STEP_PREFIX, ""))
+    sought = terms.filter(F.length("_t") >= LEAST_TERM).withColumn("_g", F.substring("_t", 1, LEAST_TERM))
+
+    def holding(column: str, score: float) -> DataFrame:
+        text = F.lower(F.col(column))
+        f = index.select(F.col("id").alias("function_id"), text.alias("_x")).filter(F.length("_x") >= LEAST_TERM)
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_x") - LEAST_TERM + 1), lambda i: F.substring(F.col("_x"), i, F.lit(LEAST_TERM))))
+        met = sought.join(f.withColumn("_g", F.explode(grams)), "_g").filter(F.col("_x").contains(F.col("_t")))
+        return met.groupBy("step_name").agg(F.min("function_id").alias("function_id")).withColumn("confidence", F.lit(score))
+
+    named = holding("function_name", IN_NAME)
+    placed = holding("file_path", IN_PATH).join(named, "step_name", "left_anti")
+    return terms.select("step_name").join(named.unionByName(placed), "step_name", "left")
+
+
 def call_edges(index: DataFrame) -> DataFrame:
     """Distinct ``(app_name, caller, callee)`` between functions of the index; unreadable lists give no edges."""
     f = index.select("app_name", F.col("function_name").alias("caller"), F.explode(F.from_json("calls_json", "array<string>")).alias("callee"))

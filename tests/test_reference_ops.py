@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latchline.functions.sourcecode import frameworks, read_source
 from latchline.functions.units import bare_name, duration_ms, name_tokens
-from latchline.operators import codeindex, flows, linkage, text_rules, timings
+from latchline.operators import codeindex, flows, ingest, linkage, text_rules, timings
 from latchline.operators.ci_logs import archive_steps, flat_steps, header_step
 from latchline.sources import files
 
@@ -61,7 +61,7 @@ def test_headers_and_excerpts(spark):
 
 def test_step_excerpts_keep_both_ends(spark):
     short = ["##[group]short", "one", "", "two", "##[endgroup]"]
-    long = ["##[group]long", *[f"line {n} " + "y" * (n % 90) for n in range(200)], "z" * 5000, "last"]
+    long = ["##[group]long", *[f"line {n} " + "y" * (n % 90 + 1) for n in range(200)], "z" * 5000, "last"]
     lines = [Z.format(n / 1000, x) for n, x in enumerate([*short, *long])]
     got = {r["step_name"]: r["log_excerpt"] for r in flat_steps(ci(spark, *lines)).collect()}
     text = "\n".join(long)
@@ -139,8 +139,10 @@ def test_graph(spark):
 def test_flows(spark):
     ok = ["x", flows.BEGIN + " traceId: abc1 T : 2024-01-01T23:59:500000000", "noise", *flows.SEQUENCE, flows.COUNTS + " T : 2024-01-01T00:00:100000000", "end"]
     bad = [flows.BEGIN, flows.PROGRESS, "[console-function || closeTrace]", *flows.SEQUENCE[1:]]
-    assert flows.flow_bounds(ok + bad + ok) == [(1, 11), (len(ok) + len(bad) + 1, len(ok) + len(bad) + 11)]
-    assert flows.flow_bounds([]) == [] and flows.flow_bounds(bad) == []
+    every = ok + bad + ok
+    bounds = lambda xs: flows.flow_bounds(list(range(len(xs))), xs)
+    assert bounds(every) == [(1, 11), (len(ok) + len(bad) + 1, len(ok) + len(bad) + 11)]
+    assert bounds([]) == [] and bounds(bad) == []
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(ok)] + [("g", 1, None), (None, 1, flows.BEGIN)], "file string, line_no long, line string")
     (r,) = flows.flow_durations(df).collect()
     assert (r["flow_id"], r["trace_id"], r["seconds"]) == (1, "abc1", 20.0)
@@ -233,3 +235,44 @@ def test_fleet_ranks_share_ties(spark):
     got = {r["repository_id"]: (r["rank_no"], r["percentile"]) for r in timings.pipeline_fleet(runs).collect()}
     assert got == {3: (1, 25.0), 1: (2, 75.0), 2: (2, 75.0), 5: (4, 100.0)}
     assert timings.pipeline_fleet(runs.filter("repository_id = 3")).first()["percentile"] is None
+
+
+def test_ingestion(spark, tmp_path):
+    runs = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 9, 1), (5, None, 1), (6, 7, None)], "id long, repository_id long, run_number int")
+    known = spark.createDataFrame([(7, 2)], "repository_id long, run_number int")
+    tracked = spark.createDataFrame([(7,)], "id long")
+    assert [r["id"] for r in ingest.new_runs(runs, known, tracked).collect()] == [1]
+    steps = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "b", 9), (3, 1, "c", 9), (4, 1, "d", None), (5, None, "x", 1)], "id long, pipeline_run_id long, step_name string, duration_ms long")
+    assert [tuple(r) for r in ingest.run_summaries(steps).collect()] == [(1, 4, 23, "b", 9)]
+    path = str(tmp_path / "batches")
+    assert ingest.read_batches(spark, path, "runs") is None
+    ingest.write_batch({"runs": runs, "steps": steps}, path, "one")
+    runs.write.parquet(f"{path}/runs/batch=torn")  # no mark: an interrupted write
+    assert ingest.read_batches(spark, path, "runs").count() == 6 and ingest.read_batches(spark, path, "steps").count() == 5
+    ingest.write_batch({"runs": runs.limit(1), "steps": steps.limit(0)}, path, "one")
+    assert ingest.read_batches(spark, path, "runs").count() == 1
+    rows = [("a", "(?P<func>x)"), ("a", "(?P<func>x)"), ("a", "(broken"), ("a", "(broken"), ("a", "(broken"), ("b", "(broken"), (None, "x"), ("c", None), ("c", " ")]
+    got = ingest.best_patterns(spark.createDataFrame(rows, "app_name string, custom_pattern string"))
+    assert [tuple(r) for r in got.collect()] == [("a", "(?P<func>x)", 2)]
+    saved = tmp_path / "runs.json"
+    saved.write_text('{"workflow_runs": [{"id": 5, "run_number": 2, "name": "CI", "status": "completed", "conclusion": null, "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:01:30Z", "repository": {"full_name": "a/b"}}]}')
+    (run,) = ingest.run_metadata(spark, str(saved)).collect()
+    assert (run["github_run_id"], run["full_name"], run["total_duration_ms"], run["conclusion"]) == (5, "a/b", 90_000, None)
+
+
+def test_steps_meet_functions_by_name_then_path(spark):
+    steps = spark.createDataFrame([("Run migrate_all",), ("execute Deploy",), ("Step ci",), ("run nothing here",), (None,)], "step_name string")
+    index = spark.createDataFrame([(2, "do_migrate_all", "a/x.py"), (1, "migrate_all_now", "a/y.py"), (3, "f", "tools/Deploy/z.py"), (4, None, None)], "id long, function_name string, file_path string")
+    got = {r["step_name"]: (r["function_id"], r["confidence"]) for r in linkage.step_matches(steps, index).collect()}
+    assert got == {"Run migrate_all": (1, 0.5), "execute Deploy": (3, 0.3), "Step ci": (None, None), "run nothing here": (None, None)}
+
+
+def test_labels_of_a_protocol_meet_its_files_first(spark):
+    names = spark.createDataFrame([("a", "gtpv2_create_session_request")], "app_name string, name string")
+    index = spark.createDataFrame([(1, "a", "create_session_req_tcp", "src/tcp.c", 1), (2, "a", "create_session_req_any", "src/packet-gtpv2.c", 1)], "id long, app_name string, function_name string, file_path string, line_number int")
+    assert linkage.match_names(names, index).first()["function_id"] == 2
+
+
+def test_files_show_their_risks(spark):
+    row = spark.createDataFrame([("a.py", "eval(x); exec (y)")], "p string, t string").select(text_rules.security_hits(F.col("p"), F.col("t")).alias("h")).first()
+    assert row["h"] == ["a.py: possible eval injection", "a.py: dynamic exec"]
