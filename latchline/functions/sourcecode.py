@@ -18,6 +18,26 @@ DEFINITIONS = {
     "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(",
     "c": r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*\)\s*\{",
 }
+# What the last call of a model's query does, attributes every row has, and the mappers in order of preference.
+OPERATIONS = {
+    "all": "query", "filter": "query", "get": "query", "first": "query", "save": "query",
+    "count": "count", "exists": "exists", "create": "insert", "update": "update", "delete": "delete",
+}
+WRITES = ("insert", "update", "delete")
+OWN_ATTRIBUTES = ("pk", "id", "save", "delete")
+PREFERRED = ("django", "sqlalchemy", "prisma", "typeorm", "raw_sql")
+# Traces of database libraries in sources of both kinds.
+PYTHON_LIBRARIES = (
+    ("django", r"^\s*(?:from|import)\s+django(?:\.db)?\b"),
+    ("sqlalchemy", r"^\s*(?:from|import)\s+sqlalchemy\b"),
+    ("prisma", r"^\s*from\s+prisma\b"),
+    ("raw_sql", r"^\s*import\s+(?:psycopg2?|sqlite3|pymysql|MySQLdb)\b|\bcursor\.execute\b"),
+)
+SCRIPT_LIBRARIES = (
+    ("prisma", r"@prisma/client|from\s+['\"]prisma['\"]|PrismaClient"),
+    ("typeorm", r"typeorm"),
+    ("raw_sql", r"cursor\.execute|pg\.query|client\.query\("),
+)
 CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 NO_CALLS = frozenset("if for while switch catch return function func sizeof else async await".split())
 
@@ -27,6 +47,7 @@ class Found:
     functions: list[dict] = field(default_factory=list)
     logs: list[dict] = field(default_factory=list)
     findings: list[dict] = field(default_factory=list)
+    operations: list[dict] = field(default_factory=list)
 
 
 def _callee(node: ast.Call) -> str | None:
@@ -52,12 +73,56 @@ def _is_query(node: ast.AST) -> bool:
     return isinstance(node, ast.Call) and "objects" in names and any(n in QUERY_METHODS for n in names)
 
 
+def _model(node: ast.AST) -> str | None:
+    """The model of a query: the capitalised name right before ``objects``."""
+    while isinstance(node, (ast.Call, ast.Attribute)):
+        if isinstance(node, ast.Attribute) and node.attr == "objects":
+            name = node.value.id if isinstance(node.value, ast.Name) else node.value.attr if isinstance(node.value, ast.Attribute) else ""
+            return name if name[:1].isupper() else None
+        node = node.func if isinstance(node, ast.Call) else node.value
+    return None
+
+
+def _is_atomic(node: ast.AST) -> bool:
+    return any(isinstance(x, (ast.Attribute, ast.Name)) and (x.attr if isinstance(x, ast.Attribute) else x.id) in ("atomic", "begin") for x in ast.walk(node))
+
+
 class _Visitor(ast.NodeVisitor):
     def __init__(self, text: str):
         self.lines, self.scope, self.loops, self.out = text.split("\n"), [], [], Found()
         self.calls: list[list[str]] = []
         self.safe_commit = 0
         self.strings: dict[str, ast.AST] = {}
+        #: Tables written by each open function outside of a transaction, in order, and open transactions.
+        self.writes: list[list[tuple[str, ast.AST]]] = [[]]
+        self.atomic = 0
+
+    def loop_row(self, node: ast.AST) -> ast.For | None:
+        """The innermost loop over a query whose row ``node`` is."""
+        loop = self.loops[-1] if self.loops else None
+        mine = isinstance(loop, ast.For) and isinstance(loop.target, ast.Name) and isinstance(node, ast.Name) and node.id == loop.target.id
+        return loop if mine and _is_query(loop.iter) else None
+
+    def judge_writes(self) -> None:
+        """Writes to several tables that no transaction holds together."""
+        tables = {t for t, _ in self.writes[-1]}
+        if len(tables) > 1:
+            self.note("transaction_missing_atomic", "HIGH" if len(tables) > 2 else "MEDIUM", self.writes[-1][0][1])
+
+    def visit_With(self, node) -> None:
+        held = any(_is_atomic(i.context_expr) for i in node.items)
+        self.atomic += held
+        self.generic_visit(node)
+        self.atomic -= held
+
+    visit_AsyncWith = visit_With
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        loop = self.loop_row(node.value)
+        if loop is not None and node.attr not in OWN_ATTRIBUTES and "select_related" not in _chain(loop.iter):
+            self.note("orm_missing_select_related", "HIGH", node)
+            self.note("n_plus_one", "MEDIUM", node)
+        self.generic_visit(node)
 
     def note(self, category: str, severity: str, node: ast.AST) -> None:
         self.out.findings.append({"category": category, "severity": severity, "line_number": node.lineno, "code": self.lines[node.lineno - 1].strip()[:200]})
@@ -72,7 +137,13 @@ class _Visitor(ast.NodeVisitor):
         self.scope.append(node.name)
         self.calls.append([])
         loops, self.loops = self.loops, []
+        held = any(_is_atomic(d) for d in node.decorator_list)
+        self.writes.append([])
+        self.atomic += held
         self.generic_visit(node)
+        self.atomic -= held
+        self.judge_writes()
+        self.writes.pop()
         self.loops = loops
         self.scope.pop()
         entry["calls"] = list(dict.fromkeys(self.calls.pop()))
@@ -134,6 +205,16 @@ class _Visitor(ast.NodeVisitor):
                     self.note("orm_count_in_loop", "HIGH", node)
                 else:
                     self.note("n_plus_one", "CRITICAL" if broad else "HIGH", node)
+            if (table := _model(node)) and (kind := OPERATIONS.get(name)):
+                chain = _chain(node)
+                self.out.operations.append({"op_type": kind, "table_hint": table, "line_number": node.lineno, "end_line_number": node.end_lineno, "in_loop": bool(self.loops), "select_related": "select_related" in chain, "prefetch_related": "prefetch_related" in chain})
+                if kind in WRITES and not self.atomic:
+                    self.writes[-1].append((table, node))
+            if name in ("all", "filter") and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Attribute):
+                related = node.func.value
+                loop = self.loop_row(related.value)
+                if loop is not None and related.attr.endswith(("s", "_set")) and "prefetch_related" not in _chain(loop.iter):
+                    self.note("orm_missing_prefetch_related", "HIGH", node)
             if name in ("execute", "executemany", "raw") and node.args and self.built_sql(node.args[0]):
                 self.note("raw_sql_injection", "CRITICAL", node)
             if name == "commit":
@@ -155,6 +236,7 @@ def read_source(text: str | None, language: str | None) -> Found:
             return Found()
         visitor = _Visitor(text)
         visitor.visit(tree)
+        visitor.judge_writes()
         # Each finding once: a chain of calls on one line is one query.
         seen, kept = set(), []
         for f in visitor.out.findings:
@@ -174,10 +256,7 @@ def read_source(text: str | None, language: str | None) -> Found:
     return out
 
 
-def frameworks(text: str | None) -> list[str]:
-    """Database libraries a Python file imports, the object mappers first."""
-    found = []
-    for name, rule in (("django", r"^\s*(?:from|import)\s+django(?:\.db)?\b"), ("sqlalchemy", r"^\s*(?:from|import)\s+sqlalchemy\b"), ("prisma", r"^\s*from\s+prisma\b"), ("raw_sql", r"^\s*import\s+(?:psycopg2?|sqlite3|pymysql|MySQLdb)\b|\bcursor\.execute\b")):
-        if re.search(rule, text or "", re.MULTILINE):
-            found.append(name)
-    return found
+def frameworks(text: str | None, language: str | None = "python") -> list[str]:
+    """Database libraries a Python, JavaScript or TypeScript file uses, the preferred first; other languages have none."""
+    rules = {"python": PYTHON_LIBRARIES, "javascript": SCRIPT_LIBRARIES, "typescript": SCRIPT_LIBRARIES}.get(language or "", ())
+    return sorted((name for name, rule in rules if re.search(rule, text or "", re.MULTILINE)), key=PREFERRED.index)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latchline.functions.sourcecode import frameworks, read_source
+from latchline.operators.text_rules import SEVERITIES, issue_domain, most_interesting, security_signals, stable_id
 
 
 def _rows(kind: str, columns: list[str]):
@@ -49,6 +50,27 @@ def used_frameworks(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "frameworks": [frameworks(t) for t in b["content"]]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, frameworks array<string>")
+            yield pd.DataFrame({"path": b["path"], "frameworks": [frameworks(t, c) for t, c in zip(b["content"], b["code_language"], strict=True)]})
+
+    return files.select("path", "content", "code_language").mapInPandas(run, "path string, frameworks array<string>")
+
+
+def operations(files: DataFrame) -> DataFrame:
+    """Database operations of models: what each does, on which table, and whether in a loop."""
+    cols = ["op_type", "table_hint", "line_number", "end_line_number", "in_loop", "select_related", "prefetch_related"]
+    shape = "path string, op_type string, table_hint string, line_number int, end_line_number int, in_loop boolean, select_related boolean, prefetch_related boolean"
+    got = files.mapInPandas(_rows("operations", cols), shape)
+    return got.withColumn("id", stable_id("path", "line_number", "op_type", "table_hint"))
+
+
+def static_report(files: DataFrame, per_domain: int = 45, chars: int = 14_000) -> tuple[DataFrame, DataFrame]:
+    """``(issues, top_files)`` of a code base: findings and risky constructs by domain, the gravest first, and the files most worth a look."""
+    found = findings(files).select("path", "category", "severity", "line_number", "code")
+    risky = files.select("path", F.explode(security_signals(F.col("content"))).alias("code"))
+    risky = risky.select("path", F.lit("security_signal").alias("category"), F.lit("medium").alias("severity"), F.lit(None).cast("int").alias("line_number"), "code")
+    merged = found.withColumn("severity", F.lower("severity")).unionByName(risky).withColumn("issue_domain", issue_domain(F.col("path"), F.col("category")))
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    order = Window.partitionBy("issue_domain").orderBy(F.when(rank == 0, 99).otherwise(rank), "path", "line_number", "category", "code")
+    issues = merged.withColumn("rank_no", F.row_number().over(order))
+    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("findings"))
+    return issues, most_interesting(files.select("path", "content").join(counts, "path", "left").fillna(0, ["findings"]), per_domain, chars)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latchline.functions import display
-from latchline.operators import flows, ingest, linkage
+from latchline.operators import codeindex, flows, ingest, linkage
 from latchline.operators.ordered import with_position
 from latchline.operators.text_rules import classify_domain, issue_domain
 from latchline.plans.reference import LINES, stored_lines
@@ -196,3 +196,80 @@ def issue_domains(spark: SparkSession, root: str) -> DataFrame:
     names = ("orm_count_in_loop", "transaction_x", "raw_sql_injection", "n_plus_one", "fk_x", "migration_x", "style", "Secret")
     f = table(spark, root, "indexed_functions").select("file_path").distinct().withColumn("category", F.explode(F.array(*[F.lit(x) for x in names])))
     return f.select("category", "file_path", issue_domain(F.col("file_path"), F.col("category")).alias("issue_domain"))
+
+
+# ---- sources written from the index and read back
+
+
+#: A function of each kind of habit; NAME stands for its name.  Every text has nine lines.
+HABITS = (
+    "def NAME(cur, x):\n    log.info('in NAME')\n    cur.execute(f'SELECT a FROM t WHERE id={x}')\n    return helper(x)\n\n\n\n\n",
+    "def NAME(session):\n    for o in Order.objects.all():\n        n = Item.objects.filter(order=o).count()\n    return n\n\n\n\n\n",
+    "def NAME(session):\n    for o in Order.objects.prefetch_related('x').all():\n        print(o.lot.name)\n        for i in o.items.all():\n            i.touch()\n\n\n\n",
+    "def NAME(session):\n    for o in Order.objects.select_related('lot').all():\n        a = o.items.filter(x=1)\n        session.commit()\n    return a\n\n\n\n",
+    "def NAME(x):\n    Order.objects.create(a=x)\n    Item.objects.update(a=x)\n    Lot.objects.delete()\n    with transaction.atomic():\n        Other.objects.create()\n    return 1\n\n",
+)
+#: What each habit is found as, and its line from the function's first.
+FOUND = (
+    (0, "raw_sql_injection", "CRITICAL", 2),
+    (1, "orm_count_in_loop", "HIGH", 2),
+    (1, "n_plus_one", "CRITICAL", 2),
+    (2, "orm_missing_select_related", "HIGH", 2),
+    (2, "n_plus_one", "MEDIUM", 2),
+    (2, "orm_missing_select_related", "HIGH", 3),
+    (2, "n_plus_one", "MEDIUM", 3),
+    (3, "orm_missing_prefetch_related", "HIGH", 2),
+    (3, "transaction_commit_in_loop", "HIGH", 3),
+    (4, "transaction_missing_atomic", "HIGH", 1),
+)
+PLACED = "p as (select *, row_number() over (partition by app_name, file_path order by id) - 1 k from indexed_functions)"
+
+
+def habit_files(spark: SparkSession, root: str) -> DataFrame:
+    """One Python file for each indexed file, with its functions in order of their ids."""
+    f = table(spark, root, "indexed_functions").select(F.concat_ws("/", "app_name", "file_path").alias("path"), "id", "function_name")
+    text = F.element_at(F.array(*[F.lit(h) for h in HABITS]), (F.col("id") % len(HABITS) + 1).cast("int"))
+    f = f.withColumn("t", F.replace(text, F.lit("NAME"), F.col("function_name")))
+    whole = f.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), "\n").alias("content"))
+    return whole.withColumn("code_language", F.lit("python"))
+
+
+@query(
+    f"""with {PLACED} select app_name || '/' || file_path as path, function_name, (9 * k + 1)::int line_number, (9 * k + case id % 5 when 0 then 4 when 1 then 4 when 2 then 5 when 3 then 5 else 7 end)::int end_line_number from p"""
+)
+def round_trip_functions(spark: SparkSession, root: str) -> DataFrame:
+    return codeindex.functions(habit_files(spark, root)).select("path", "function_name", "line_number", "end_line_number")
+
+
+@query(
+    f"""with {PLACED}, h as (select * from (values {", ".join(str(f) for f in FOUND)}) t(h, category, severity, d))
+select app_name || '/' || file_path as path, category, severity, (9 * k + d + 1)::int line_number from p join h on h.h = p.id % 5"""
+)
+def round_trip_findings(spark: SparkSession, root: str) -> DataFrame:
+    return codeindex.findings(habit_files(spark, root)).select("path", "category", "severity", "line_number")
+
+
+@query(f"with {PLACED} select 'in ' || function_name as log_string, 'info' as log_level, count(*) over (partition by function_name) > 0 as known from p where id % 5 = 0 qualify row_number() over (partition by function_name order by id) = 1")
+def round_trip_log_texts(spark: SparkSession, root: str) -> DataFrame:
+    return codeindex.log_calls(habit_files(spark, root)).select("log_string", "log_level", (F.col("line_number") > 0).alias("known"))
+
+
+@query(
+    f"""with {PLACED}, o as (select * from (values (1, 'query', 'Order', 1, false), (1, 'query', 'Item', 2, true), (1, 'count', 'Item', 2, true), (2, 'query', 'Order', 1, false), (3, 'query', 'Order', 1, false),
+  (4, 'insert', 'Order', 1, false), (4, 'update', 'Item', 2, false), (4, 'delete', 'Lot', 3, false), (4, 'insert', 'Other', 5, false)) t(h, op_type, table_hint, d, in_loop))
+select app_name || '/' || file_path as path, op_type, table_hint, (9 * k + d + 1)::int line_number, in_loop from p join o on o.h = p.id % 5"""
+)
+def round_trip_operations(spark: SparkSession, root: str) -> DataFrame:
+    return codeindex.operations(habit_files(spark, root)).select("path", "op_type", "table_hint", "line_number", "in_loop")
+
+
+@query(
+    f"""with {PLACED}, h as (select * from (values {", ".join(str(f) for f in FOUND)}) t(h, category, severity, d)),
+i as (select distinct app_name || '/' || file_path as file_path, k, category from p join h on h.h = p.id % 5 where category <> '' )
+select case when regexp_matches(lower(category), '^(orm_|transaction|n_plus_one|fk_|migration)|sql') then 'database' else {DOMAIN_SQL} end issue_domain, category,
+  (select count(*) from p join h on h.h = p.id % 5 where h.category = i.category)::bigint issues from i group by all"""
+)
+def static_issues(spark: SparkSession, root: str) -> DataFrame:
+    """Issues of the written sources by domain and category."""
+    issues, _ = codeindex.static_report(habit_files(spark, root))
+    return issues.filter("category <> 'security_signal'").groupBy("issue_domain", "category").agg(F.count(F.lit(1)).alias("issues"))
