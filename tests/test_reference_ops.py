@@ -152,9 +152,11 @@ def test_source_rules(spark, tmp_path):
     django = "from django.db import models\ndef view(request):\n    for user in User.objects.filter(a=1):\n        Order.objects.filter(user=user).first()\n        Order.objects.filter(user=user).count()\n    for x in User.objects.all():\n        if x.ok:\n            pass\n"
     sql = "import sqlite3\ndef bad(request, cursor, con):\n    uid = 1\n    sql = f'SELECT * FROM users WHERE id = {uid}'\n    cursor.execute(sql)\n    cursor.execute('SELECT 1')\n    cursor.execute('DELETE FROM t WHERE id=' + uid)\n    con.commit()\n    for i in range(3):\n        con.commit()\n    try:\n        con.commit()\n    except Exception:\n        con.rollback()\n"
     kinds = lambda t: sorted((f["category"], f["line_number"]) for f in read_source(t, "python").findings)
-    assert kinds(django) == [("n_plus_one", 4), ("n_plus_one", 5), ("orm_all_no_filter", 6), ("orm_count_in_loop", 5)]
+    # Line 7 reads a row's attribute in a loop over a query that joins nothing.
+    assert kinds(django) == [("n_plus_one", 4), ("n_plus_one", 5), ("n_plus_one", 7), ("orm_all_no_filter", 6), ("orm_count_in_loop", 5), ("orm_missing_select_related", 7)]
     assert kinds(sql) == [("raw_sql_injection", 5), ("raw_sql_injection", 7), ("transaction_commit_in_loop", 10), ("transaction_no_rollback", 8)]
     assert frameworks(django) == ["django"] and frameworks(sql) == ["raw_sql"]
+    assert frameworks("import { PrismaClient } from '@prisma/client'\npg.query('x')", "typescript") == ["prisma", "raw_sql"] and frameworks("x", "go") == []
     assert read_source("def f(:\n", "python").functions == [] and read_source(None, "python").functions == []
     js = read_source("const go = async (x) => {\n  load(x);\n}\nfunction load(y) {\n  return y;\n}\n", "javascript").functions
     assert [(f["function_name"], f["calls"]) for f in js] == [("go", ["load"]), ("load", [])]
