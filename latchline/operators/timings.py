@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latchline.functions.stats import by_index, clamped, interpolated, slope, sorted_values, spread
+from latchline.functions.stats import by_index, clamped, slope, sorted_values, spread
 from latchline.operators.ordered import with_running
 
 # Weights of share, anomaly and trend in the score, and the trend labels' bound in ms per run.
@@ -110,16 +110,16 @@ def session_fleet(sessions: DataFrame) -> DataFrame:
     """Apps compared by mean session time: rank, mid-rank percentile and the fleet's interpolated percentiles."""
     done = sessions.filter("status = 'completed' and total_duration_ms > 0 and app_name is not null")
     apps = done.groupBy("app_name").agg(F.avg("total_duration_ms").alias("avg_ms"), F.count(F.lit(1)).alias("sessions"), F.avg("total_calls").alias("avg_calls"))
-    # One row per app from here on.
-    alike = Window.partitionBy("avg_ms")
-    order = Window.orderBy("avg_ms")
-    fleet = Window.partitionBy()
-    n = F.count(F.lit(1)).over(fleet)
-    ranked = apps.withColumn("rank_no", F.rank().over(order)).withColumn("_tied", F.count(F.lit(1)).over(alike))
-    ranked = ranked.withColumn("percentile", F.bround((F.col("rank_no") - 1 + 0.5 * F.col("_tied")) / n * 100, 0))
-    for q in (50, 90):
-        ranked = ranked.withColumn(f"fleet_p{q}_ms", F.bround(interpolated(F.col("avg_ms"), q / 100).over(fleet), 1))
-    return ranked.select("app_name", "rank_no", "sessions", F.bround("avg_ms", 1).alias("avg_ms"), F.bround("avg_calls", 1).alias("avg_calls"), "percentile", "fleet_p50_ms", "fleet_p90_ms")
+    # Equal means are counted first and ranked in chunks, so there may be any number of apps.
+    values = apps.groupBy("avg_ms").agg(F.count(F.lit(1)).alias("_tied")).withColumn("_all", F.lit(0)).withColumn("_c", F.floor(F.log2("avg_ms") * 64))
+    placed = with_running(values, ["_all"], "_c", ["avg_ms"], F.col("_tied"), "_upto").select("avg_ms", "_tied", "_upto")
+    quantile = ", ".join(f"bround(percentile(avg_ms, {q / 100}, _tied), 1) as fleet_p{q}_ms" for q in (50, 90))
+    return apps.sparkSession.sql(
+        f"""select app_name, cast(_upto - _tied + 1 as int) as rank_no, sessions, bround(avg_ms, 1) as avg_ms, bround(avg_calls, 1) as avg_calls,
+        bround((_upto - _tied + 0.5 * _tied) / (select sum(_tied) from {{placed}}) * 100, 0) as percentile,
+        (select fleet_p50_ms from {{whole}}) as fleet_p50_ms, (select fleet_p90_ms from {{whole}}) as fleet_p90_ms from {{met}}""",
+        met=apps.join(placed, "avg_ms"), placed=placed, whole=apps.sparkSession.sql(f"select {quantile} from {{placed}}", placed=placed),
+    )
 
 
 def pipeline_fleet(runs: DataFrame) -> DataFrame:
