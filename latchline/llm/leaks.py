@@ -95,7 +95,9 @@ def candidates(index: DataFrame, spots: DataFrame, seen: DataFrame) -> DataFrame
     met = met.select("_doc", "_item", "_part", "_term", "_own", "_distinct", "_p", F.explode("_at").alias("_n"))
     # Offsets in overlapping buckets, so that matches a little apart still meet in one of them.
     near = F.floor((F.col("_p") - F.col("_n")) / WANDER).cast("int")
-    met = met.withColumn("_b", F.explode(F.array(near, near - 1))).groupBy("_doc", "_item", "_b", "_part", "_term").agg(F.first("_own").alias("_own"), F.first("_distinct").alias("_distinct"))
+    # One shuffle: a pair's matches lie together for all the groupings below.
+    met = met.withColumn("_b", F.explode(F.array(near, near - 1))).drop("_p", "_n", "_at").repartition("_doc", "_item")
+    met = met.groupBy("_doc", "_item", "_b", "_part", "_term").agg(F.first("_own").alias("_own"), F.first("_distinct").alias("_distinct"))
     parts = met.groupBy("_doc", "_item", "_b", "_part").agg(F.count(F.lit(1)).alias("_hits"), F.count_if("_own").alias("_own"), F.first("_distinct").alias("_distinct"))
     enough = (F.col("_own") > 0) & (F.col("_hits") >= F.least(F.lit(LEAST_SHARED), F.col("_distinct")))
     places = parts.groupBy("_doc", "_item", "_b").agg(F.max(enough).alias("_enough"), F.sum("_own").alias("_own"))
