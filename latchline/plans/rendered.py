@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latchline.operators import runtime_logs
+from latchline.operators import flows, runtime_logs
 from latchline.operators.ci_logs import archive_steps
 from latchline.tables import table
 
@@ -180,3 +180,27 @@ def round_trip_archive(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES["round_trip_archive"] = round_trip_archive
 SQL["round_trip_archive"] = ARCHIVE_SQL
+
+
+# ---- flows
+
+
+FLOWS_SQL = """
+with e as (select *, row_number() over (partition by user_id order by ts, event_id) n from events)
+select 'u' || user_id as file, row_number() over (partition by user_id order by n)::int flow_id, 't' || n as trace_id, trunc(value * 10) / 1000 as seconds from e where n % 3 <> 0
+"""
+
+
+def round_trip_flows(spark: SparkSession, root: str) -> DataFrame:
+    """Events as flows of marked lines, every third one broken, and back."""
+    e = _events(spark, root)
+    clock = lambda c: F.concat(F.lit(" T : "), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssSSSSSS"))
+    end = F.timestamp_micros(F.unix_micros("at") + F.col("ms") * 1000)
+    middle = [F.lit(m) for m in flows.SEQUENCE]
+    middle[2] = F.when(F.col("n") % 3 == 0, flows.BREAKS[1]).otherwise(flows.SEQUENCE[2])
+    lines = _lines(e, _text(flows.BEGIN, " traceId: t", F.col("n"), clock(F.col("at"))), *middle, _text(flows.COUNTS, clock(end)), F.lit("noise"))
+    return flows.flow_durations(lines).select("file", "flow_id", "trace_id", "seconds")
+
+
+QUERIES["round_trip_flows"] = round_trip_flows
+SQL["round_trip_flows"] = FLOWS_SQL
