@@ -44,6 +44,21 @@ def test_nothing_found_is_read_plainly_except_where_it_is_not(spark):
         assert one(spark, lambda d, n=name: rl.parse_as(d, n), "parse_frame took 12ms") == [], name
 
 
+def test_logfmt_keys_are_searched_once_and_only_files_without_calls_are_read_plainly(spark):
+    optimised = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    times = "ts=2024-01-01T00:00:00Z", "ts=2024-01-01T00:00:02Z"
+    files = {"pairs": [f"{times[0]} event=begin func=b", f"{times[1]} event=finish func=b"], "plain": ["parse_frame took 12ms"], "odd": ['func="" event=begin', "=", 'func=q event=begin duration="2s"', "func=n duration=x5"]}
+    lines = frame(spark, files)
+    # The keys and the values: two searches, whatever is filtered later.
+    assert optimised(rl.logfmt_events(lines)).count("regexp_extract_all") == 2
+    plan = optimised(rl.or_plain(rl.paired(rl.logfmt_events(lines)), lines))
+    assert rl.PLAIN_DIRECT in plan and rl.PLAIN_DIRECT not in plan.partition("LeftAnti")[2]
+    found = rl.parse_logfmt(lines)
+    # The pairing reads the stored events: the search is not part of its plan.
+    assert "regexp_extract_all" not in optimised(found)
+    assert calls(found) == [("odd", 3, "q", 1, 2000), ("odd", 4, "n", 1, 0), ("pairs", 2, "b", 1, 2000), ("plain", 1, "parse_frame", 1, 12)]
+
+
 def test_detection_and_routing(spark):
     files = {
         "json": ['{"func":"f","elapsed_ms":4}'] * 5, "spring": ["2024-03-19 10:32:01.456  INFO [main] c.e.S - fetchUsers() in 3ms"] * 5, "tshark": ["dissect_tcp   elapsed=0.342s"] * 5,
